@@ -150,3 +150,31 @@ def find_secrets(
         return lambda i, t: (i, *scan(t, rules, want_text))
 
     return map_rows(docs, [id_col, text_col], factory, SCHEMA)
+
+
+def mask_documents(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars", rules: LinkRules | None = None) -> DataFrame:
+    """``docs`` with secrets masked; null texts stay null, sizes change only with their text.
+
+    Every column passes through, so no join is needed to bring the masked text back.
+    """
+    rules = rules or LinkRules()
+    names, schema = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    text_at, size_at = names.index(text_col), names.index(size_col)
+
+    def factory():
+        def one(*row):
+            text = row[text_at]
+            if text is None:
+                return row
+            low = text.lower()
+            base = base_spans(text, low)
+            hidden = mask(text, base + linked_spans(text, low, base, rules), rules.mask)
+            if hidden == text:
+                return row
+            row = list(row)
+            row[text_at], row[size_at] = hidden, len(hidden)
+            return tuple(row)
+
+        return one
+
+    return map_rows(docs, names, factory, schema)
