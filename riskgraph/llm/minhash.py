@@ -195,7 +195,8 @@ def _long_signatures(sets: DataFrame, ids: DataFrame) -> DataFrame:
     def factory():
         def one(i, shingles):
             s = np.array(shingles, dtype=np.int64).view(np.uint64)
-            return i, (signature(s, LONG) & np.uint64(255)).astype(np.uint8).tobytes()
+            # upper bits: the lower ones name the coordinate
+            return i, (signature(s, LONG) >> np.uint64(56)).astype(np.uint8).tobytes()
 
         return one
 
