@@ -166,8 +166,8 @@ def restrict(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Dat
     """``doc_id, text`` of the documents in ``ids``.
 
     A bitmap of hashed ids, at most 256 rows of 4 KB, is broadcast and drops most
-    other documents while scanning, so their texts aren't shuffled; an exact
-    semi-join follows.
+    other documents while scanning, so their texts aren't shuffled; an exact join
+    with the distinct ids follows (a semi-join would be moved below the filter).
     """
     place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
     maps = (
@@ -179,7 +179,7 @@ def restrict(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> Dat
     byte = F.expr("cast(conv(hex(substring(bits, cast((h % 32768) div 8 as int) + 1, 1)), 16, 10) as int)")
     hit = F.expr("cast(h % 8 as int)")
     some = some.where(F.getbit(byte, hit) == 1).select("doc_id", "text")
-    return some.join(ids, "doc_id", "left_semi")
+    return some.join(ids.distinct(), "doc_id")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str) -> DataFrame:
