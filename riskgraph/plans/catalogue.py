@@ -1,15 +1,348 @@
-"""The catalogue of queries over the driver's tables."""
+"""The catalogue of queries over the driver's tables, each a composition of operators."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from riskgraph.config import CommunityConfig, GraphConfig, IngestConfig, ResolutionConfig
+from riskgraph.functions.scalar import edit_similarity, exact_similarity, normalized, prefix_similarity
+from riskgraph.operators import communities as com
+from riskgraph.operators import confidence, evaluation, ingest, links, resolution, scoring, topology
+from riskgraph.plans import oracle
+from riskgraph.sources import generator, tables
+
+REJECT_AS_OF = "2024-07-10 00:00:00"
+FLAG_AS_OF = "2024-02-15 00:00:00"
+LINK_AS_OF = "2000-01-01 00:00:00"
+EDGE_ABOVE, PATH_ABOVE = 100.0, 150.0
+RANK_ROUNDS = 10
+INACTIVE_DAYS = 30
+#: Documents lack five of the eight attributes, which count as equal, so the limit is raised.
+MERGE = ResolutionConfig(merge_at=0.95)
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return tables.purchase_edges(spark, d, EDGE_ABOVE)
+
+
+def _flags(df: DataFrame) -> DataFrame:
+    return df.withColumn("flags", F.array_join("flags_semantiques", ",")).select("seq", "motif", "flags")
+
+
+def validate_events(spark, d):
+    return _flags(ingest.validate(tables.risk_events(spark, d), REJECT_AS_OF))
+
+
+def validate_rules(spark, d):
+    e = tables.risk_events(spark, d)
+    chain = [r for r in ingest.rules(IngestConfig(), FLAG_AS_OF) if r.name in ("V1", "V2", "V5", "V6", "V8")]
+    return _flags(ingest.apply_rules(e, chain))
+
+
+def reject_counts(spark, d):
+    return ingest.reject_counts(ingest.validate(tables.risk_events(spark, d), REJECT_AS_OF))
+
+
+def reject_sink(spark, d):
+    v = ingest.validate(tables.risk_events(spark, d), REJECT_AS_OF)
+    r = tables.reject_records(v.where("motif is not null"), REJECT_AS_OF)
+    return r.select("identifiant_source", "type_evenement", "motif_rejet", (F.length("donnees_brutes") <= 500).alias("bounded"))
+
+
+def dedup_events(spark, d):
+    e = ingest.mark_duplicates(tables.risk_events(spark, d), ["id_entite_source", "type_evenement"], IngestConfig().dedup_seconds)
+    return e.select("seq", "is_duplicate")
+
+
+def volume_spike(spark, d):
+    cfg = IngestConfig(spike_factor=1.5)
+    return ingest.mark_spikes(tables.risk_events(spark, d), "id_entite_source", cfg).select("seq", "volume", "is_spike")
+
+
+def amount_outlier(spark, d):
+    return ingest.mark_outliers(tables.risk_events(spark, d), IngestConfig()).select("seq", F.col("history").cast("bigint").alias("history"), "is_outlier")
+
+
+def causal_links(spark, d):
+    return links.causal_links(tables.risk_events(spark, d)).select("cause", "effect", "cause_type", "effect_type", F.round("delta_secondes", 3).alias("delta_secondes"))
+
+
+def causal_link_counts(spark, d):
+    c = links.causal_links(tables.risk_events(spark, d))
+    return c.groupBy("cause_type", "effect_type").agg(F.count("*").alias("n"), F.round(F.avg("delta_secondes"), 3).alias("mean_delta"))
+
+
+def inactive_links(spark, d):
+    o = tables.read(spark, d, "orders").select(F.col("o_custkey").alias("src"), F.col("o_orderkey").alias("dst"), "o_orderdate")
+    return links.mark_inactive(o, "o_orderdate", LINK_AS_OF, GraphConfig()).select("src", "dst", "inactif")
+
+
+def shared_attribute_pairs(spark, d):
+    return links.shared_attribute_pairs(tables.read(spark, d, "customer"), "c_custkey", ["c_nationkey", "c_mktsegment"])
+
+
+def synthetic_identity(spark, d):
+    c = tables.read(spark, d, "customer").select("c_custkey", F.round("c_acctbal", 0).cast("bigint").alias("bal"), F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("place"))
+    return links.synthetic_identities(c, "c_custkey", ["bal", "place"], None, None)
+
+
+def two_hop_paths(spark, d):
+    return topology.paths(tables.purchase_edges(spark, d, PATH_ABOVE)).groupBy("src", "dst").agg(F.count("*").alias("n_paths"))
+
+
+def degree_hubs(spark, d):
+    e = _edges(spark, d)
+    return topology.hubs(topology.degrees(_vertices(e), e)).select("id", "degre", F.round("threshold", 6).alias("threshold"), "est_hub")
+
+
+def _vertices(e: DataFrame) -> DataFrame:
+    return e.select(F.col("src").alias("id")).unionByName(e.select(F.col("dst").alias("id"))).distinct()
+
+
+def _rank(spark, d):
+    return topology.pagerank(tables.purchase_edges(spark, d, PATH_ABOVE), rounds=RANK_ROUNDS)
+
+
+def pagerank_k(spark, d):
+    return _rank(spark, d).select("id", F.round("rank", 6).alias("rank"))
+
+
+def pagerank_converged(spark, d):
+    return topology.pagerank(tables.purchase_edges(spark, d, PATH_ABOVE)).select("id", F.round("rank", 6).alias("rank"))
+
+
+def cliques(spark, d):
+    return topology.cliques(_edges(spark, d))
+
+
+def closeness_bounded(spark, d):
+    return topology.closeness(tables.purchase_edges(spark, d, PATH_ABOVE))
+
+
+def neighbor_jaccard(spark, d):
+    return confidence.neighbour_jaccard(_edges(spark, d)).select("src", "dst", F.round("jaccard", 6).alias("jaccard"))
+
+
+def _confidence(spark, d):
+    e = _edges(spark, d)
+    return confidence.link_confidence(e, confidence.event_facts(tables.risk_events(spark, d)), FLAG_AS_OF)
+
+
+def link_confidence(spark, d):
+    return _confidence(spark, d)
+
+
+def components(spark, d):
+    return topology.components(tables.purchase_edges(spark, d, PATH_ABOVE))
+
+
+def communities(spark, d):
+    return com.detect(_confidence(spark, d).withColumnRenamed("score_confiance", "weight"))
+
+
+def _groups(spark, d, above: float) -> DataFrame:
+    return topology.components(tables.purchase_edges(spark, d, above)).select("id", F.col("component").alias("id_communaute"))
+
+
+def cohesion(spark, d):
+    c = com.cohesion(tables.purchase_edges(spark, d, PATH_ABOVE), _groups(spark, d, PATH_ABOVE))
+    return c.withColumn("classe", com.cohesion_class(F.col("cohesion")))
+
+
+def _created(spark, d):
+    return tables.risk_events(spark, d).groupBy(F.col("id_entite_source").alias("id")).agg(F.min("horodatage").alias("date_creation"))
+
+
+def core_members(spark, d):
+    e = tables.purchase_edges(spark, d, PATH_ABOVE)
+    return com.core_members(e, _groups(spark, d, PATH_ABOVE), _created(spark, d), FLAG_AS_OF, CommunityConfig(core_density=0.05))
+
+
+def community_evolution(spark, d):
+    return com.evolution(_groups(spark, d, PATH_ABOVE), _groups(spark, d, 175.0))
+
+
+def modularity(spark, d):
+    return com.modularity(tables.purchase_edges(spark, d, PATH_ABOVE), _groups(spark, d, PATH_ABOVE))
+
+
+def community_summary(spark, d):
+    e, now = tables.purchase_edges(spark, d, PATH_ABOVE), _groups(spark, d, PATH_ABOVE)
+    return com.summary(e, now, _created(spark, d), _groups(spark, d, 175.0), FLAG_AS_OF)
+
+
+def _names(spark, d) -> DataFrame:
+    docs = tables.read(spark, d, "documents")
+    return docs.select(F.col("doc_id").alias("identifiant"), F.translate(F.left(F.coalesce("text", F.lit("")), F.lit(40)), "ßœ", "so").alias("nom"), F.col("source").alias("adresse"))
+
+
+def name_similarity(spark, d):
+    n = _names(spark, d).select("identifiant", normalized("nom").alias("x"), normalized("adresse").alias("s"))
+    m = n.select((F.col("identifiant") + 1).alias("identifiant"), F.col("x").alias("y"), F.col("s").alias("t"))
+    return n.join(m, "identifiant").select(
+        F.col("identifiant").alias("id"), F.round(edit_similarity(F.col("x"), F.col("y")), 6).alias("nom"),
+        prefix_similarity(F.col("x"), F.col("y")).alias("phonetique"), exact_similarity(F.col("s"), F.col("t")).alias("source"),
+    )
+
+
+def block_candidates(spark, d):
+    n = _names(spark, d).select("identifiant", normalized("nom").alias("nom"))
+    return resolution.block_pairs(n, "identifiant")
+
+
+def composite_similarity(spark, d):
+    return resolution.matches(_names(spark, d), "identifiant", MERGE)
+
+
+def resolve_entities(spark, d):
+    return resolution.resolve(_names(spark, d), "identifiant", MERGE)
+
+
+def merge_entities(spark, d):
+    mapping = resolution.resolve(_names(spark, d), "identifiant", MERGE)
+    pairs = resolution.matches(_names(spark, d), "identifiant", MERGE).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    left, moved = resolution.merge(_names(spark, d), pairs, mapping)
+    return left.agg(F.count("*").alias("entities"), F.count("identifiants_fusionnes").alias("survivors")).crossJoin(moved.agg(F.count("*").alias("edges")))
+
+
+def _features(spark, d):
+    e = _edges(spark, d)
+    conf = _confidence(spark, d)
+    seen = confidence.event_facts(tables.risk_events(spark, d)).select("src", "dst", "last_seen")
+    scored = links.mark_inactive(conf.join(seen, ["src", "dst"], "left"), "last_seen", FLAG_AS_OF, GraphConfig(inactive_days=INACTIVE_DAYS))
+    v = _vertices(e)
+    ev = tables.risk_events(spark, d)
+    chain = [r for r in ingest.rules(IngestConfig(), FLAG_AS_OF) if r.name in ("V1", "V2", "V5", "V6", "V8")]
+    members = _groups(spark, d, PATH_ABOVE)
+    cohesions = com.cohesion(tables.purchase_edges(spark, d, PATH_ABOVE), members)
+    hub = topology.hubs(topology.degrees(v, e))
+    return scoring.features(
+        v, scored, ranks=_rank(spark, d), members=members, cohesions=cohesions, hub_flags=hub,
+        events=ingest.apply_rules(ev, chain), as_of=FLAG_AS_OF,
+    )
+
+
+def risk_features(spark, d):
+    return _features(spark, d)
+
+
+def _risk_vertices(spark, d):
+    v = _vertices(_edges(spark, d))
+    c = tables.read(spark, d, "customer").select(F.col("c_custkey").alias("id"), (F.pmod(F.abs(F.col("c_acctbal")), F.lit(100.0)) / 100.0).alias("risk"))
+    return v.join(c, "id", "left")
+
+
+def neighbor_risk(spark, d):
+    return scoring.propagate(_risk_vertices(spark, d), _confidence(spark, d))
+
+
+def isolation_scores(spark, d):
+    c = tables.read(spark, d, "customer").withColumn("nation", F.col("c_nationkey").cast("double"))
+    return scoring.isolation_scores(c, "c_custkey", ["c_acctbal", "nation"])
+
+
+def forest_on_features(spark, d):
+    return scoring.isolation_scores(_features(spark, d), "id", list(scoring.FEATURES))
+
+
+def risk_decision(spark, d):
+    f = _features(spark, d)
+    spread = scoring.propagate(_risk_vertices(spark, d), _confidence(spark, d))
+    return scoring.composite(f.select("id"), scoring.heuristic(f), spread, threshold=0.3)
+
+
+def confusion_metrics(spark, d):
+    rows = tables.read(spark, d, "labels").select((F.col("toxic") == 1).alias("t"), (F.col("quality") == 0).alias("p"))
+    return evaluation.confusion(rows, "t", "p")
+
+
+def held_out_metrics(spark, d):
+    rows = tables.read(spark, d, "labels").select("doc_id", (F.col("toxic") == 1).alias("t"), (F.col("quality") == 0).alias("p"))
+    return evaluation.confusion(evaluation.held_out(rows, "doc_id"), "t", "p")
+
+
+def bias_report(spark, d):
+    rows = tables.read(spark, d, "labels").join(tables.read(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    return evaluation.bias(rows.withColumn("detected", F.col("toxic") == 1), "lang", "detected")
+
+
+def retrain_trigger(spark, d):
+    rows = tables.read(spark, d, "labels").withColumn("used", F.col("quality") == 0)
+    return evaluation.retrain_trigger(rows, "toxic", "used")
+
+
+def _labels(spark, d):
+    e = tables.read(spark, d, "events").groupBy(F.col("user_id").alias("id")).agg(F.max("value").alias("top"))
+    return e.select("id", F.when(F.col("top") > 250, "FRAUDE").otherwise("FAUX_POSITIF").alias("label")).where("id % 3 = 0")
+
+
+def feedback_neighbors(spark, d):
+    return evaluation.feedback_neighbours(_risk_vertices(spark, d), _edges(spark, d), _labels(spark, d))
+
+
+def feedback_community(spark, d):
+    members = _groups(spark, d, PATH_ABOVE)
+    cohesions = com.cohesion(tables.purchase_edges(spark, d, PATH_ABOVE), members)
+    cfg = evaluation.FeedbackConfig(cohesion_at=0.01)
+    return evaluation.feedback_community(_risk_vertices(spark, d), members, cohesions, _labels(spark, d), cfg)
+
+
+def null_model(spark, d):
+    return confidence.null_model(spark, 0.9)
+
+
+def entity_scan(spark, d):
+    return tables.read(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment").orderBy("c_custkey").limit(2000)
+
+
+def entity_upsert(spark, d):
+    c = tables.read(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    new = tables.read(spark, d, "orders").select((F.col("o_custkey") * 2).alias("c_custkey"), F.lit("ACTIVE").alias("c_mktsegment")).distinct()
+    return tables.upsert(c, new, ["c_custkey"])
+
+
+def edge_insert(spark, d):
+    old = _edges(spark, d).withColumn("type", F.lit("CAUSE_DE"))
+    new = tables.purchase_edges(spark, d, 50.0).withColumn("type", F.lit("CAUSE_DE"))
+    return tables.add_edges(old, new).groupBy("type").agg(F.count("*").alias("n"))
+
+
+def constraint_check(spark, d):
+    return tables.violations(tables.read(spark, d, "orders"), "o_custkey")
+
+
+def generated_entities(spark, d):
+    return generator.entities(spark)
+
+
+def generated_events(spark, d):
+    return generator.events(generator.entities(spark))
+
+
+_QUERIES = (
+    validate_events, validate_rules, reject_counts, reject_sink, dedup_events, volume_spike, amount_outlier, causal_links,
+    causal_link_counts, inactive_links, shared_attribute_pairs, synthetic_identity, two_hop_paths, degree_hubs, pagerank_k,
+    pagerank_converged, cliques, closeness_bounded, neighbor_jaccard, link_confidence, components, communities, cohesion,
+    core_members, community_evolution, modularity, community_summary, name_similarity, block_candidates, composite_similarity,
+    resolve_entities, merge_entities, risk_features, neighbor_risk, isolation_scores, forest_on_features, risk_decision,
+    confusion_metrics, held_out_metrics, bias_report, retrain_trigger, feedback_neighbors, feedback_community, null_model,
+    entity_scan, entity_upsert, edge_insert, constraint_check, generated_entities, generated_events,
+)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {f.__name__: f for f in _QUERIES}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {k: v for k, v in oracle.statements().items() if k in queries()}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return risk_decision(spark, sf_dir)
 
-def queries():
-    return {}
 
 
-def oracle_sql():
-    return {}
