@@ -226,7 +226,9 @@ def _features(spark, d):
 
 
 def risk_features(spark, d):
-    return _features(spark, d)
+    f = _features(spark, d)
+    # three digits for money: sums in another order may differ in the sixth
+    return f.withColumns({c: F.round(c, 3) for c in ("montant_moyen", "montant_std")})
 
 
 def _risk_vertices(spark, d):

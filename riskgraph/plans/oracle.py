@@ -227,7 +227,7 @@ FROM coh JOIN evo USING (id_communaute) LEFT JOIN (SELECT id_communaute, count(*
   (a.s = b.s)::INT::DOUBLE AS source FROM nm a JOIN nm b ON b.id + 1 = a.id""",
         "block_candidates": f"WITH {NAMES}, {BLOCKS} SELECT a, b FROM bl",
         "composite_similarity": f"WITH {NAMES}, {BLOCKS}, sc AS (SELECT a, b, ({composite})::DOUBLE AS s FROM bl) SELECT a, b, round(s, 6) AS similarite FROM sc WHERE s >= 0.95",
-        "risk_features": f"{FEATURE_SQL} SELECT * FROM ft",
+        "risk_features": f"{FEATURE_SQL} SELECT * REPLACE (round(montant_moyen, 3) AS montant_moyen, round(montant_std, 3) AS montant_std) FROM ft",
         "neighbor_risk": f"WITH {EV}, {E}, {CONFIDENCE}, {VERT}, {RISK}, {GNN} SELECT * FROM gnn",
         "risk_decision": f"""{FEATURE_SQL}, {RISK}, {GNN}, hx AS (SELECT max(nb_flags) AS mf, max(montant_moyen) AS mm FROM ft),
 sc AS (SELECT ft.id, round(0.40 * round(least(1, (synthetique + coalesce(nb_flags / nullif(mf, 0), 0) + coalesce(montant_moyen / nullif(mm, 0), 0)) / 3), 6)
