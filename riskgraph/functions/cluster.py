@@ -70,3 +70,21 @@ def materialize(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_dir(spark).rstrip('/')}/riskgraph/{name}-{uuid.uuid4().hex}"
+
+
+def hash_sample(df: DataFrame, keys: list[str], limit: int, salt: str) -> DataFrame:
+    """At most ``limit`` rows, the first by a hash of ``keys``; the same ones whatever the partitioning.
+
+    Rows beyond 1.5 times the hash that ``limit`` should reach are dropped before
+    sorting, so what partitions send to the driver is bounded by the limit and
+    doesn't grow with their number.
+    """
+    from pyspark.sql import functions as F
+
+    n = df.count()
+    h = F.xxhash64(*keys, F.lit(salt))
+    out = df
+    if n > 2 * limit:
+        share = 1.5 * limit / n + 1e-6
+        out = out.where(h < F.lit(int(-(2**63) + min(share, 0.999) * 2**64)))
+    return out.orderBy(h, *keys).limit(limit)
