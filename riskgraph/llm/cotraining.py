@@ -26,8 +26,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.functions.cluster import materialize
-from riskgraph.llm.rows import map_rows
+from riskgraph.functions.cluster import hash_sample, materialize
+from riskgraph.llm.rows import map_rows, row_schema
 
 FEATURES = "doc_id bigint, content array<double>, meta array<double>"
 LANGS, SOURCES = 8, 32
@@ -192,14 +192,10 @@ def sample(features: DataFrame, labels: DataFrame, settings: Settings, label_col
         .groupBy("doc_id").agg(F.avg(F.col(label_col).cast("double")).alias("y"))
         .where("y <> 0.5").select("doc_id", (F.col("y") > 0.5).cast("double").alias("y"))
     )
-    order = F.xxhash64(F.col("doc_id"), F.lit("sample"))
-    chosen = known.orderBy(order, "doc_id").limit(settings.labelled)
+    chosen = hash_sample(known, ["doc_id"], settings.labelled, "labelled")
     rows = features.join(F.broadcast(chosen), "doc_id").select("doc_id", "content", "meta", "y").collect()
     rows = sorted(rows, key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["content"]))[: settings.labelled]
-    pool = (
-        features.where(F.col("doc_id").isNotNull()).select("doc_id", "content", "meta")
-        .orderBy(order, "doc_id").limit(settings.pool).collect()
-    )
+    pool = hash_sample(features.where(F.col("doc_id").isNotNull()).select("doc_id", "content", "meta"), ["doc_id"], settings.pool, "pool").collect()
     seen = {r["doc_id"] for r in rows}
     pool = [r for r in pool if r["doc_id"] not in seen]
 
@@ -227,6 +223,36 @@ def score_quality(
     settings = settings or Settings()
     features = materialize(featurize(docs, id_col, text_col))
     model = co_train(*sample(features, labels, settings), settings)
+    return _score(features, model, settings)
+
+
+def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
+    """The rows of ``docs`` that the classifier keeps, with all their columns.
+
+    Training reads the kept table of features; filtering computes the features of a
+    row once more beside its text, which is cheaper than joining texts to scores.
+    """
+    settings = settings or Settings()
+    features = materialize(featurize(docs, id_col, text_col))
+    model = co_train(*sample(features, labels, settings), settings)
+    if model is None:
+        return docs
+    names = docs.columns
+    at = [names.index(c) for c in (text_col, "lang", "source", "n_chars")]
+    limit = math.log(settings.keep_at / (1 - settings.keep_at))
+
+    def factory():
+        def one(*row):
+            text, lang, source, n = (row[i] for i in at)
+            odds = model.odds(np.array([content_view(text)]), np.array([meta_view(lang, source, n)]))[0]
+            return (row,) if odds >= limit else ()
+
+        return one
+
+    return map_rows(docs, names, factory, row_schema(docs), many=True)
+
+
+def _score(features: DataFrame, model: Model | None, settings: Settings) -> DataFrame:
     if model is None:
         half = F.lit(0.5)
         return features.select("doc_id", half.alias("score_content"), half.alias("score_meta"), half.alias("score"), F.lit(True).alias("kept"))

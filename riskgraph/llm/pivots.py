@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.functions.cluster import materialize, ship_package
+from riskgraph.functions.cluster import hash_sample, materialize, ship_package
 from riskgraph.functions.graph import connected_components
 from riskgraph.llm.rows import map_rows
 
@@ -156,11 +156,11 @@ def near_vectors(
     )
     good = rows.where("sound")
     counted = good.groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"))
-    reps = (
+    reps = materialize(
         counted.join(good.select(F.col("vec_id").alias("rep"), "k1", "k2", "vector"), ["rep", "k1", "k2"])
         .dropDuplicates(["rep", "k1", "k2"])
     )
-    picked = good.orderBy(F.xxhash64("k1"), "vec_id").select("vector").limit(SAMPLE).collect()
+    picked = hash_sample(reps, ["rep"], SAMPLE, "pivots").select("vector").collect()
     dims = {len(r["vector"]) for r in picked}
     by_dim = {d: choose_pivots([r["vector"] for r in picked if len(r["vector"]) == d], PIVOTS, d) for d in dims}
 

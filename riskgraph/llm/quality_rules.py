@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from riskgraph.llm.rows import map_rows
+from riskgraph.llm.rows import map_rows, row_schema
 
 SYMBOLS = b"#*$%&|<>"
 SCHEMA = (
@@ -142,3 +142,15 @@ def quality_rules(
         return lambda i, t: (i, *judge(t, rules, want_text))
 
     return map_rows(docs, [id_col, text_col], factory, SCHEMA)
+
+
+def keep_documents(docs: DataFrame, text_col: str = "text", rules: LineRules | None = None) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns; texts are filtered in place, not joined."""
+    rules = rules or LineRules()
+    names = docs.columns
+    at = names.index(text_col)
+
+    def factory():
+        return lambda *row: (row,) if judge(row[at], rules, False)[6] else ()
+
+    return map_rows(docs, names, factory, row_schema(docs), many=True)

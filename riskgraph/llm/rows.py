@@ -43,3 +43,8 @@ def map_rows(df: DataFrame, columns: list[str], factory: Callable, schema: str,
                     )
 
     return df.select(*columns).mapInArrow(run, struct)
+
+
+def row_schema(df: DataFrame) -> str:
+    """The columns of ``df`` as a schema string, for operators that hand rows through."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from riskgraph.llm.rows import map_rows
+from riskgraph.llm.rows import map_rows, row_schema
 
 #: Base patterns (fixed values).
 ASSIGN = re.compile(
@@ -158,7 +158,7 @@ def mask_documents(docs: DataFrame, text_col: str = "text", size_col: str = "n_c
     Every column passes through, so no join is needed to bring the masked text back.
     """
     rules = rules or LinkRules()
-    names, schema = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    names = docs.columns
     text_at, size_at = names.index(text_col), names.index(size_col)
 
     def factory():
@@ -177,4 +177,4 @@ def mask_documents(docs: DataFrame, text_col: str = "text", size_col: str = "n_c
 
         return one
 
-    return map_rows(docs, names, factory, schema)
+    return map_rows(docs, names, factory, row_schema(docs))
