@@ -179,6 +179,8 @@ def _email(key: str) -> str:
     letters = f"if(length(w) = 0, '', {_let('f', net, 'concat(' + word('f.l', half) + ', ' + word('f.r', f'(length(w) - {half})') + ')')})"
     local = _let("w", "lower(regexp_replace(u, '[^A-Za-z]', ''))", _let("n", letters, _refill("u", "n", "[A-Za-z]")))
     local = _let("u2", local, _let("d", _digits("u2"), _let("n", _permute_digits("d", _quote("mail"), key), _refill("u2", "n"))))
+    cased = "array_join(transform(sequence(1, length(u)), p -> if(substr(u, p, 1) rlike '[A-Z]', upper(substr(y, p, 1)), substr(y, p, 1))), '')"
+    local = _let("y", local, cased)
     long = f"concat('u', substr(sha2(concat_ws('|', {_quote(key)}, 'mail', u), 256), 1, 20))"
     body = f"concat(if(length(regexp_replace(u, '[^A-Za-z]', '')) > 24 or length(regexp_replace(u, '[^0-9]', '')) > 30, {long}, {local}), substr(m, length(u) + 1))"
     return _let("u", "substring_index(m, '@', 1)", body)
