@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskgraph.config import IngestConfig
-from riskgraph.functions.cluster import materialize
+from riskgraph.functions.cluster import materialize, ship_package
 from riskgraph.functions.scalar import whole_days
 
 
@@ -127,18 +129,33 @@ def mark_outliers(events: DataFrame, cfg: IngestConfig, chunk: int = 20000) -> D
     """``is_outlier`` of transactions by the upper median of up to 1000 amounts before, in global arrival order.
 
     Positions in the order are cut into chunks; each chunk also gets the rows that
-    its first frames reach back to, so chunks are windowed independently and give
-    what one window over everything would.
+    its first frames reach back to, so chunks of bounded size are slid over
+    independently and give what one window over everything would.
     """
     t = with_position(events.where((F.col("type_evenement") == "TRANSACTION") & F.col("montant").isNotNull()).select("seq", "montant"), ["seq"])
     own = F.expr(f"cast(position div {chunk} as bigint)")
     reach = F.expr(f"cast((position + {cfg.outlier_history}) div {chunk} as bigint)")
     dealt = t.withColumn("_own", own).withColumn("_chunk", F.explode(F.sequence("_own", reach)))
-    w = Window.partitionBy("_chunk").orderBy("position").rowsBetween(-cfg.outlier_history, -1)
-    ranked = dealt.withColumn("_before", F.array_sort(F.collect_list("montant").over(w))).where("_chunk = _own")
-    median = F.try_element_at("_before", (F.floor(F.array_size("_before") / 2) + 1).cast("int"))
-    flag = (F.array_size("_before") >= cfg.outlier_min) & (median > 0) & (F.col("montant") > cfg.outlier_factor * median)
-    return ranked.select("seq", F.array_size("_before").alias("history"), F.coalesce(flag, F.lit(False)).alias("is_outlier"))
+    factor, most, least = cfg.outlier_factor, cfg.outlier_history, cfg.outlier_min
+
+    def slide(pdf: pd.DataFrame) -> pd.DataFrame:
+        # the frame as a sorted list: one insertion and one removal per row instead of a sort
+        pdf = pdf.sort_values("position")
+        amounts, own = pdf["montant"].tolist(), (pdf["_own"] == pdf["_chunk"]).tolist()
+        frame: list[float] = []
+        out = []
+        for i, (seq, x) in enumerate(zip(pdf["seq"], amounts, strict=True)):
+            if own[i]:
+                n = len(frame)
+                middle = frame[n // 2] if n else 0.0
+                out.append((seq, n, n >= least and middle > 0 and x > factor * middle))
+            bisect.insort(frame, x)
+            if len(frame) > most:
+                del frame[bisect.bisect_left(frame, amounts[i - most])]
+        return pd.DataFrame(out, columns=["seq", "history", "is_outlier"])
+
+    ship_package(events.sparkSession)
+    return dealt.groupBy("_chunk").applyInPandas(slide, "seq bigint, history int, is_outlier boolean")
 
 
 def validate(events: DataFrame, as_of: str, cfg: IngestConfig | None = None) -> DataFrame:
