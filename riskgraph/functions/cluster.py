@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 _shipped: set[str] = set()
 
 #: Rows per Arrow batch for operators over long texts; it bounds a Python worker's memory.
-ARROW_ROWS = 1000
+ARROW_ROWS = 200
 
 
 def ship_package(spark: SparkSession) -> None:
