@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.functions.cluster import materialize
+from riskgraph.functions.cluster import materialize, ship_package
 from riskgraph.functions.graph import connected_components
 from riskgraph.llm.rows import map_rows
 
@@ -287,18 +287,25 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     may share, joins last, where only its own side of the join repeats it.
     """
 
-    def factory():
-        def one(member, center, a, b):
-            x = np.array(a, dtype=np.int64).view(np.uint64)
-            y = np.array(b, dtype=np.int64).view(np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            return member, center, both / max(1, len(x) + len(y) - both)
-
-        return one
-
+    def run(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("member", pa.int64()), ("center", pa.int64()), ("sim", pa.float64())])
+        for batch in batches:
+            # sets stay Arrow buffers: as Python lists, long texts would take several times the room
+            a, b = batch.column("a"), batch.column("b")
+            sims = []
+            for i in range(batch.num_rows):
+                x = a[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                y = b[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                sims.append(both / max(1, len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([batch.column("member"), batch.column("center"), pa.array(sims, type=pa.float64())], schema=schema)
+
+    ship_package(pairs.sparkSession)
     joined = pairs.join(sets.select(F.col("doc_id").alias("member"), F.col("shingles").alias("a")), "member")
     joined = joined.join(sets.select(F.col("doc_id").alias("center"), F.col("shingles").alias("b")), "center")
-    return map_rows(joined, ["member", "center", "a", "b"], factory, "member bigint, center bigint, sim double")
+    return joined.select("member", "center", "a", "b").mapInArrow(run, "member bigint, center bigint, sim double")
 
 
 def near_duplicates(

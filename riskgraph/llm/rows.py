@@ -12,7 +12,7 @@ from pyspark.sql.types import StructType, _parse_datatype_string
 from riskgraph.functions.cluster import ship_package
 
 #: Rows that are held as Python objects at a time.
-CHUNK = 256
+CHUNK = 64
 
 
 def map_rows(df: DataFrame, columns: list[str], factory: Callable, schema: str, many: bool = False) -> DataFrame:
