@@ -121,8 +121,12 @@ ok AS (SELECT id_communaute FROM oz LEFT JOIN oi USING (id_communaute) WHERE n <
 core AS (SELECT id_communaute, id FROM og WHERE id_communaute IN (SELECT id_communaute FROM ok))"""
 
 
-NAMES = f"""nm AS (SELECT doc_id AS id, translate(trim(lower(translate(left(coalesce(text, ''), 40), 'ßœ', 'so'))), '{MARKED}', '{PLAIN}') AS x,
-  translate(trim(lower(coalesce(source, ''))), '{MARKED}', '{PLAIN}') AS s FROM documents)"""
+def _plain(column: str) -> str:
+    return f"translate(trim(lower(coalesce({column}, ''))), '{MARKED}', '{PLAIN}')"
+
+
+NAMES = f"""nm AS (SELECT min(p_partkey) AS id, {_plain('p_name')} AS x, {_plain('p_brand')} AS s FROM part GROUP BY p_name, p_brand)"""
+TURNS = f"""nm AS (SELECT conv_id, turn, {_plain("translate(text, 'ßœ', 'so')")} AS x, {_plain('role')} AS s FROM conversations)"""
 
 
 def _edit(a: str, b: str) -> str:
@@ -140,7 +144,7 @@ def _prefix(a: str, b: str) -> str:
 BLOCKS = f"""bl AS (SELECT a.id AS a, b.id AS b, a.x AS ax, b.x AS bx, a.s AS sa, b.s AS sb FROM nm a JOIN nm b ON a.id < b.id
   WHERE abs(length(a.x) - length(b.x)) / greatest(length(a.x), 1) <= 0.30::DOUBLE * 3
   AND (left(a.x, 3) = left(b.x, 3) OR a.x = '' OR b.x = '' OR ({_edit('left(a.x, 6)', 'left(b.x, 6)')}) > 0.7))"""
-LABELS = "lb AS (SELECT user_id AS id, CASE WHEN max(value) > 250 THEN 'FRAUDE' ELSE 'FAUX_POSITIF' END AS label FROM events GROUP BY 1 HAVING user_id % 3 = 0)"
+LABELS = "lb AS (SELECT user_id AS id, CASE WHEN max(value) > 250 THEN 'FRAUDE' ELSE 'FAUX_POSITIF' END AS label FROM events GROUP BY 1)"
 
 
 def _metrics() -> str:
@@ -223,10 +227,10 @@ SELECT round(inside / m - k2 / (4 * m * m), 6) AS modularity FROM m, i, k""",
         "community_summary": f"""WITH RECURSIVE {P}, {_edges('q', 175.0)}, {_components('cp', 'p')}, {_components('cq', 'q')}, {EVOLUTION}, {COHESION}, {CREATED}, {_core(0.70)}
 SELECT id_communaute, coh.size, round(cohesion, 4) AS cohesion, {CLASS} AS classe, coalesce(k, 0) AS core_size, evolution
 FROM coh JOIN evo USING (id_communaute) LEFT JOIN (SELECT id_communaute, count(*) AS k FROM core GROUP BY 1) USING (id_communaute)""",
-        "name_similarity": f"""WITH {NAMES} SELECT a.id, round(({_edit('a.x', 'b.x')})::DOUBLE, 6) AS nom, ({_prefix('a.x', 'b.x')})::DOUBLE AS phonetique,
-  (a.s = b.s)::INT::DOUBLE AS source FROM nm a JOIN nm b ON b.id + 1 = a.id""",
+        "name_similarity": f"""WITH {TURNS} SELECT a.conv_id, a.turn, round(({_edit('a.x', 'b.x')})::DOUBLE, 6) AS nom, ({_prefix('a.x', 'b.x')})::DOUBLE AS phonetique,
+  (a.s = b.s)::INT::DOUBLE AS role FROM nm a JOIN nm b ON b.conv_id = a.conv_id AND b.turn + 1 = a.turn""",
         "block_candidates": f"WITH {NAMES}, {BLOCKS} SELECT a, b FROM bl",
-        "composite_similarity": f"WITH {NAMES}, {BLOCKS}, sc AS (SELECT a, b, ({composite})::DOUBLE AS s FROM bl) SELECT a, b, round(s, 6) AS similarite FROM sc WHERE s >= 0.95",
+        "composite_similarity": f"WITH {NAMES}, {BLOCKS}, sc AS (SELECT a, b, ({composite})::DOUBLE AS s FROM bl) SELECT a, b, round(s, 6) AS similarite FROM sc WHERE s >= 0.951",
         "risk_features": f"{FEATURE_SQL} SELECT * REPLACE (round(montant_moyen, 3) AS montant_moyen, round(montant_std, 3) AS montant_std) FROM ft",
         "neighbor_risk": f"WITH {EV}, {E}, {CONFIDENCE}, {VERT}, {RISK}, {GNN} SELECT * FROM gnn",
         "risk_decision": f"""{FEATURE_SQL}, {RISK}, {GNN}, hx AS (SELECT max(nb_flags) AS mf, max(montant_moyen) AS mm FROM ft),
@@ -249,7 +253,7 @@ st AS (SELECT lb.id, cp.id_communaute, (CASE WHEN label = 'FRAUDE' THEN 0.05 ELS
   FROM lb JOIN cp USING (id) JOIN coh USING (id_communaute) WHERE cohesion >= 0.01),
 dl AS (SELECT cp.id, sum(st.step) AS delta FROM cp JOIN st ON st.id_communaute = cp.id_communaute AND st.id <> cp.id GROUP BY 1)
 SELECT rv.id, round(least(1, greatest(0, coalesce(risk, 0.1) + round(delta, 9))), 6) AS score_risque FROM rv JOIN dl USING (id)""",
-        "entity_scan": "SELECT c_custkey, c_name, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 2000",
+        "entity_scan": "SELECT c_custkey, c_name, c_mktsegment FROM customer",
         "entity_upsert": """WITH n AS (SELECT DISTINCT o_custkey * 2 AS k FROM orders)
 SELECT coalesce(c_custkey, k) AS c_custkey, CASE WHEN k IS NOT NULL THEN 'ACTIVE' ELSE c_mktsegment END AS c_mktsegment FROM customer FULL JOIN n ON k = c_custkey""",
         "edge_insert": f"WITH {_edges('q', 50.0)} SELECT 'CAUSE_DE' AS type, count(*) AS n FROM q",

@@ -7,7 +7,7 @@ import pytest
 
 from riskgraph.plans import catalogue
 
-TABLES = "customer orders events documents labels".split()
+TABLES = "customer orders events part conversations documents labels".split()
 
 
 @pytest.fixture(scope="module")
