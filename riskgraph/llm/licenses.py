@@ -50,8 +50,6 @@ TEMPLATES = {
         "permission to use copy modify and or distribute this {{3}} for any purpose with or without fee is hereby granted",
     ),
 }
-#: Words of which every template has one; texts without them need no automaton.
-ANCHORS = (b"license", b"licensed", b"permission", b"redistribution", b"redistribute", b"cc by nc")
 SCHEMA = (
     "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, "
     "labels string, score double"
@@ -130,34 +128,42 @@ def split_words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def scan(text: str | None, phrases: list[tuple[list[bytes], str]], automata: list[tuple[str, Automaton]]) -> tuple:
-    flat = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE)
-    words = flat.split()
-    n = len(words)
-    if not any(a in flat for a in ANCHORS) and not (b"nc" in flat and b"cc" in flat):
-        return n, 0, None, None, "", "", 0.0
-    by_first: dict[bytes, list[tuple[list[bytes], str]]] = {}
-    for p, label in phrases:
-        by_first.setdefault(p[0], []).append((p, label))
+class Scanner:
+    """Base phrases and automata by the words that they may begin with."""
+
+    def __init__(self, phrases: dict[str, str], templates: dict[str, tuple[str, ...]]):
+        self.phrases: dict[bytes, list[tuple[list[bytes], str]]] = {}
+        for p, label in phrases.items():
+            words = p.encode().split()
+            self.phrases.setdefault(words[0], []).append((words, label))
+        self.automata: dict[bytes, list[tuple[str, Automaton]]] = {}
+        for label, a in compile_templates(templates):
+            for w in a.first:
+                self.automata.setdefault(w, []).append((label, a))
+        self.first = self.phrases.keys() | self.automata.keys()
+
+
+def scan(text: str | None, by: Scanner) -> tuple:
+    words = split_words(text or "")
     starts, base, labels, best = [], set(), set(), 0.0
-    for at, w in enumerate(words):
-        for p, label in by_first.get(w, ()):
+    for at in [i for i, w in enumerate(words) if w in by.first]:
+        w = words[at]
+        for p, label in by.phrases.get(w, ()):
             if words[at : at + len(p)] == p:
                 starts.append(at)
                 base.add(label)
-        for label, a in automata:
-            if w in a.first:
-                whole, got = a.run(words, at)
-                if whole:
-                    labels.add(label)
-                    best = 1.0
-                elif got / a.mandatory > best:
-                    best = got / a.mandatory
+        for label, a in by.automata.get(w, ()):
+            whole, got = a.run(words, at)
+            if whole:
+                labels.add(label)
+                best = 1.0
+            elif got / a.mandatory > best:
+                best = got / a.mandatory
     if base:
         best = max(best, 0.9)
     score = best if best >= 0.5 else 0.0
     first, last = (starts[0], starts[-1]) if starts else (None, None)
-    return n, len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), float(score)
+    return len(words), len(starts), first, last, ",".join(sorted(base)), ",".join(sorted(base | labels)), float(score)
 
 
 def scan_licenses(
@@ -169,8 +175,7 @@ def scan_licenses(
     phrases = PHRASES if phrases is None else phrases
 
     def factory():
-        automata = compile_templates(templates)
-        known = [(p.encode().split(), label) for p, label in phrases.items()]
-        return lambda i, t: (i, *scan(t, known, automata))
+        by = Scanner(phrases, templates)
+        return lambda i, t: (i, *scan(t, by))
 
     return map_rows(docs, [id_col, text_col], factory, SCHEMA)
