@@ -4,7 +4,9 @@ The page is parsed into a tree without what is never content. Each paragraph
 passes points for its length and commas to its parent and, halved, to the next
 ancestors; a container's points are discounted by its link density. The best
 container is kept (widened to the article or main element around it, if any)
-with those siblings that score well beside it.
+with those siblings that score well beside it. Elements that class, id or role
+name as page furniture are left out, unless they wrap an article and half of the
+page's text.
 
 Defined cases: null or empty html gives an empty text; unclosed and stray tags
 are repaired as browsers do for paragraphs and list items; null ids pass
@@ -25,7 +27,7 @@ SCHEMA = "page_id bigint, url string, text string, n_chars bigint"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes".split())
 DROPPED = frozenset(
-    "script style noscript template head title nav header footer aside form button select option textarea input label "
+    "script style noscript template head title nav header footer aside button select option textarea input label "
     "fieldset iframe object embed svg canvas audio video map dialog menu math".split()
 )
 BLOCKS = frozenset(
@@ -52,30 +54,32 @@ FURNITURE = re.compile(
     r"complementary|contentinfo|hidden|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Those of them that stand for reader comments, also on an article element (fixed values).
+COMMENTS = re.compile(r"(?:^|[\s_-])(?:comment|comments|disqus|replies|respond)(?:$|[\s_-])", re.I)
+#: Names that only say how a page is laid out, as in "no-sidebar" (fixed values).
+LAYOUT = re.compile(r"(?:^|(?<=\s))(?:no|has|with|without|hide|show)[_-]\S*", re.I)
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:(?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>]))*+)>",
     re.S,
 )
+#: Where a tag begins that never ends.
+OPENED = re.compile(r"<[a-zA-Z/!?]")
 ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 
 class Node:
-    __slots__ = ("name", "parent", "items", "drop", "score", "text_len", "link_len")
+    __slots__ = ("name", "parent", "items", "drop", "suspect", "wraps", "score", "text_len", "link_len")
 
-    def __init__(self, name: str, parent: Node | None, drop: bool):
-        self.name, self.parent, self.drop = name, parent, drop
+    def __init__(self, name: str, parent: Node | None, drop: bool, suspect: bool = False, wraps: bool = True):
+        self.name, self.parent, self.drop, self.suspect, self.wraps = name, parent, drop, suspect, wraps
         self.items: list = []
         self.score = 0.0
         self.text_len = self.link_len = 0
 
 
-def _furniture(name: str, raw: str) -> bool:
-    if name in ("body", "html", "article", "main"):
-        return False
+def _hidden(raw: str) -> bool:
     for key, value in ATTR.findall(raw):
         key = key.lower()
-        if key in ("class", "id", "role") and FURNITURE.search(html_lib.unescape(value.strip("\"'"))):
-            return True
         if key == "hidden" or key == "aria-hidden" and value.strip("\"'") == "true":
             return True
         if key == "style" and re.search(r"display\s*:\s*none", value, re.I):
@@ -83,8 +87,37 @@ def _furniture(name: str, raw: str) -> bool:
     return False
 
 
+def _furniture(name: str, raw: str) -> tuple[bool, bool]:
+    """Whether class, id or role name page furniture, and readers' comments; an article can only be the latter."""
+    if name in ("body", "html", "main"):
+        return False, False
+    values = (LAYOUT.sub("", html_lib.unescape(v.strip("\"'"))) for k, v in ATTR.findall(raw) if k.lower() in ("class", "id", "role"))
+    named = " ".join(values)
+    said = bool(COMMENTS.search(named))
+    return said or name != "article" and bool(FURNITURE.search(named)), said
+
+
+def _settle(root: Node) -> None:
+    """Drops suspects, except wrappers: those around an article or main element and half of the page's text."""
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo.extend(c for c in x.items if isinstance(c, Node) and not c.drop)
+    size: dict[int, int] = {}
+    holds: set[int] = set()
+    for x in reversed(order):
+        nodes = [c for c in x.items if isinstance(c, Node) and not c.drop]
+        size[id(x)] = sum(len(c.strip()) for c in x.items if isinstance(c, str)) + sum(size[id(c)] for c in nodes)
+        if x.name in ("article", "main") and not x.suspect or any(id(c) in holds for c in nodes):
+            holds.add(id(x))
+    for x in order:
+        if x.suspect and not (x.wraps and id(x) in holds and 2 * size[id(x)] >= size[id(root)]):
+            x.drop = True
+
+
 def parse(page: str) -> Node:
-    """The page's tree; dropped elements are marked and hold no text."""
+    """The page's tree; dropped elements are marked."""
     root = Node("#root", None, False)
     stack, at, size = [root], 0, len(page)
 
@@ -95,14 +128,17 @@ def parse(page: str) -> Node:
     def close(k: int) -> None:
         del stack[k:]
 
+    end_of_tags = page.rfind(">") + 1  # what follows can't close a tag
     while at < size:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at, end_of_tags) if at < end_of_tags else None
         if not m:
-            text(page[at:])
+            text(OPENED.split(page[at:], maxsplit=1)[0])
             break
         text(page[at : m.start()])
         at = m.end()
         if m[2] is None:
+            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+                break
             if m[0].startswith("<![CDATA["):
                 text(m[0][9:-3])
             continue
@@ -135,7 +171,11 @@ def parse(page: str) -> Node:
             if found:
                 close(found)
         top = stack[-1]
-        node = Node(name, top, top.drop or name in DROPPED or (bool(m[3]) and _furniture(name, m[3])))
+        node = Node(name, top, top.drop or name in DROPPED or bool(m[3]) and _hidden(m[3]))
+        if not node.drop and m[3]:
+            node.suspect, said = _furniture(name, m[3])
+            node.wraps = not said
+        node.suspect |= name == "form"
         top.items.append(node)
         if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCKS:
             continue
@@ -144,6 +184,7 @@ def parse(page: str) -> Node:
             at = end.end() if end else size
             continue
         stack.append(node)
+    _settle(root)
     return root
 
 

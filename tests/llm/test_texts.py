@@ -132,9 +132,14 @@ def test_template_regions():
     run = lambda s: a.run(s.encode().split(), 0)
     assert run("alpha delta")[0] and run("alpha beta gamma delta")[0] and run("alpha x y delta")[0]
     assert not run("alpha x y z delta")[0] and run("alpha x") == (False, 1) and not run("alpha")[0]
-    scan = lambda t: licenses.scan(t, [], licenses.compile_templates(licenses.TEMPLATES))
+    by = licenses.Scanner({}, licenses.TEMPLATES)
+    scan = lambda t: licenses.scan(t, by)
     assert scan("This work is licensed under the GNU General Public License, version 3.")[5] == "gpl-3"
     assert scan("licensed under the GNU Public License, version 3")[5] == ""
+    own = licenses.Scanner({"do as you wish": "free"}, {"open": ("open [[and free]] for {{2}} use",)})
+    got = licenses.scan("Do as you wish: open for all your use, do as you wish.", own)
+    assert got == (13, 2, 0, 9, "free", "free,open", 1.0)
+    assert licenses.scan("open and free for", own)[6] == 2 / 3  # the share of mandatory words read
 
 
 # quality rules
@@ -338,6 +343,31 @@ def test_html_without_article():
     assert html_extract.main_text(page) == f"Title\n\n{para.strip()}\n\n{para.strip()}\n\nShort."
 
 
+LONG = "<p>" + "Long paragraph, with commas, and many words in the text of the article. " * 4 + "</p>"
+SAYS = "<p>" + "Reader says, that all this is wrong, and more. " * 9 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body><div class="page no-sidebar"><div class="entry">{LONG * 2}</div></div></body>',
+        f'<body><div class="page-header-fixed"><main>{LONG * 2}</main></div></body>',
+        f"<body><form><article>{LONG * 2}</article><input></form></body>",
+        f'<main><article>{LONG * 2}</article><div id="comments"><article>{SAYS * 4}</article></div></main>',
+        f'<main><article>{LONG * 2}</article><article class="comment">{SAYS}</article></main>',
+        f'<main><div>{LONG * 2}</div><div class="related"><article><p>Teaser, short.</p></article></div></main>',
+        f"<article><p title=it's></p>{LONG * 2}<p data-x='a>b'></p></article><a href=\"cut",
+    ],
+)
+def test_html_furniture(page):
+    assert html_extract.main_text(page).split("\n\n") == [LONG[3:-4].strip()] * 2
+
+
+@pytest.mark.parametrize("page", ["<a" * 20000, '<a href="' * 8000, '<div ="x ' * 20000, "<div class=ad>" * 20000, "<!--" * 9000])
+def test_html_hostile_pages_take_linear_time(page):
+    assert html_extract.main_text(page) == ""
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p", "<!--", "</p>", "<script>", "<p>" * 3000, "<div>" * 3000 + "x", "&am", "a<b", "<a href='x>y"])
 def test_html_never_fails(page):
     assert isinstance(html_extract.main_text(page), str)
