@@ -77,6 +77,8 @@ def feedback_community(vertices: DataFrame, members: DataFrame, cohesions: DataF
 
 
 def record_labels(vertices: DataFrame, labels: DataFrame) -> DataFrame:
-    """``vertices`` with ``label_verite`` set; a label outside the domain raises an error."""
+    """``vertices`` with ``label_verite`` set where ``labels`` has the id; others keep theirs, a label outside the domain raises an error."""
     ok = F.when(F.col("label").isin(*LABELS), F.col("label")).otherwise(F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce("label", F.lit("null")))))
-    return vertices.drop("label_verite").join(labels.select("id", ok.alias("label_verite")), "id", "left")
+    old = F.col("label_verite") if "label_verite" in vertices.columns else F.lit(None).cast("string")
+    joined = vertices.join(labels.select("id", ok.alias("_label")), "id", "left").withColumn("label_verite", F.coalesce("_label", old))
+    return joined.drop("_label")

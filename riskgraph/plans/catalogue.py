@@ -11,13 +11,14 @@ from riskgraph.config import CommunityConfig, GraphConfig, IngestConfig, Resolut
 from riskgraph.functions.scalar import edit_similarity, exact_similarity, normalized, prefix_similarity
 from riskgraph.operators import communities as com
 from riskgraph.operators import confidence, evaluation, ingest, links, resolution, scoring, topology
-from riskgraph.plans import oracle
+from riskgraph.plans import oracle, phases
 from riskgraph.sources import generator, tables
 
 REJECT_AS_OF = "2024-07-10 00:00:00"
 FLAG_AS_OF = "2024-02-15 00:00:00"
 LINK_AS_OF = "2000-01-01 00:00:00"
 EDGE_ABOVE, PATH_ABOVE = 100.0, 150.0
+GENERATED_AS_OF = "2024-07-01 00:00:00"
 RANK_ROUNDS = 10
 INACTIVE_DAYS = 30
 #: Product lines lack five of the eight attributes, which count as equal, so the limit is raised.
@@ -326,6 +327,14 @@ def generated_events(spark, d):
     return generator.events(generator.entities(spark))
 
 
+def generated_edges(spark, d):
+    return generator.edges(generator.entities(spark))
+
+
+def full_pipeline(spark, d):
+    return phases.run(phases.generate(spark), GENERATED_AS_OF).summary()
+
+
 _QUERIES = (
     validate_events, validate_rules, reject_counts, reject_sink, dedup_events, volume_spike, amount_outlier, causal_links,
     causal_link_counts, inactive_links, shared_attribute_pairs, synthetic_identity, two_hop_paths, degree_hubs, pagerank_k,
@@ -334,6 +343,7 @@ _QUERIES = (
     resolve_entities, merge_entities, risk_features, neighbor_risk, isolation_scores, forest_on_features, risk_decision,
     confusion_metrics, held_out_metrics, bias_report, retrain_trigger, feedback_neighbors, feedback_community, null_model,
     entity_scan, entity_upsert, edge_insert, constraint_check, generated_entities, generated_events,
+    generated_edges, full_pipeline,
 )
 
 

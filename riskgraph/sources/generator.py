@@ -85,3 +85,37 @@ def events(ents: DataFrame, seed: int = 42, as_of: str = "2024-07-01", low: int
         _whole(u("sources"), 1, 3).cast("int").alias("nombre_sources"), _whole(u("jump"), 0, 2).cast("int").alias("saut_hierarchique"),
         "adresse_ip",
     )
+
+
+def edges(ents: DataFrame, seed: int = 42, as_of: str = "2024-07-01") -> DataFrame:
+    """Links between entities: shared IP, shared address and cosignature within a ring, and causal ones to random targets.
+
+    Sharing pairs come from equi-joins on the attribute, lower key first; the causal
+    targets of an entity are its own draws, so nothing is paired with everything.
+    """
+    n = ents.count()
+
+    def u(name: str) -> Column:
+        return _unit(seed, name, "src", "dst", "type")
+
+    def sharing(attribute: str, kind: str) -> DataFrame:
+        a = ents.where(F.col(attribute).isNotNull()).select(F.col("identifiant").alias("src"), attribute)
+        b = ents.select(F.col("identifiant").alias("dst"), attribute)
+        return a.join(b, attribute).where("src < dst").select("src", "dst", F.lit(kind).alias("type"))
+
+    odd = F.col("categorie") != "NORMAL"
+    draws = F.when(odd, _whole(_unit(seed, "links", "identifiant"), 1, 5)).otherwise(_whole(_unit(seed, "links", "identifiant"), 1, 3))
+    causal = ents.select(F.col("identifiant").alias("src"), F.explode(F.sequence(F.lit(1).cast("bigint"), draws)).alias("k"))
+    target = _whole(_unit(seed, "target", "src", "k"), 0, max(0, n - 1))
+    causal = causal.select("src", F.format_string("ENT-%08d", target).alias("dst"), F.lit("CAUSE_DE").alias("type"))
+    some = sharing("adresse_ip", "PARTAGE_IP").unionByName(sharing("adresse", "PARTAGE_ADRESSE"))
+    some = some.unionByName(sharing("id_reseau", "COSIGNATURE")).unionByName(causal.where("src <> dst").distinct())
+    kind = F.col("type")
+    low = F.when(kind == "PARTAGE_IP", 0.4).when(kind == "PARTAGE_ADRESSE", 0.3).otherwise(0.1)
+    high = F.when(kind.isin("PARTAGE_IP", "CAUSE_DE"), 0.9).when(kind == "PARTAGE_ADRESSE", 0.7).otherwise(0.4)
+    return some.select(
+        "src", "dst", "type", F.round(low + u("confidence") * (high - low), 3).alias("score_confiance"),
+        (F.to_timestamp(F.lit(as_of)) - F.make_dt_interval(_whole(u("age"), 0, 1095).cast("int"))).alias("date_creation"),
+        F.when(kind == "CAUSE_DE", u("inactive") < 0.05).otherwise(False).alias("inactif"),
+        F.when(kind == "CAUSE_DE", _whole(u("delta"), 60, 72 * 3600).cast("double")).alias("delta_secondes"),
+    )
