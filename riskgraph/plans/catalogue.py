@@ -176,11 +176,17 @@ def community_summary(spark, d):
 
 
 def _names(spark, d) -> DataFrame:
-    """Product lines as entities: every part counts, equal name and brand make one line."""
+    """Product lines as entities, as the SQL has them: of parts equal in name and brand only the first."""
     parts = tables.read(spark, d, "part").groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("identifiant"))
     return parts.select("identifiant", F.col("p_name").alias("nom"), F.col("p_brand").alias("adresse"))
 
 
+def _parts(spark, d) -> DataFrame:
+    """Every part as an entity."""
+    parts = tables.read(spark, d, "part")
+    return parts.select(F.col("p_partkey").alias("identifiant"), F.col("p_name").alias("nom"), F.col("p_brand").alias("adresse"))
+
+
 def name_similarity(spark, d):
     said = F.translate(F.coalesce("text", F.lit("")), "ßœ", "so")
     n = tables.read(spark, d, "conversations").select("conv_id", "turn", normalized(said).alias("x"), normalized("role").alias("s"))
@@ -201,13 +207,13 @@ def composite_similarity(spark, d):
 
 
 def resolve_entities(spark, d):
-    return resolution.resolve(_names(spark, d), "identifiant", MERGE)
+    return resolution.resolve(_parts(spark, d), "identifiant", MERGE)
 
 
 def merge_entities(spark, d):
-    mapping = resolution.resolve(_names(spark, d), "identifiant", MERGE)
-    pairs = resolution.matches(_names(spark, d), "identifiant", MERGE).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    left, moved = resolution.merge(_names(spark, d), pairs, mapping)
+    mapping = resolution.resolve(_parts(spark, d), "identifiant", MERGE)
+    pairs = resolution.matches(_parts(spark, d), "identifiant", MERGE).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    left, moved = resolution.merge(_parts(spark, d), pairs, mapping)
     return left.agg(F.count("*").alias("entities"), F.count("identifiants_fusionnes").alias("survivors")).crossJoin(moved.agg(F.count("*").alias("edges")))
 
 
