@@ -4,6 +4,8 @@ Strong spans are found by pattern alone. Access identifiers, secrets and
 endpoints that are too weak to report by themselves are joined by interval:
 one is reported only when a complementary part lies within ``reach`` code
 points of it in the same scope (a block of lines without an empty line).
+Identifiers and endpoints complement a secret, and a reported secret them; an
+endpoint doesn't complement what is part of it, such as a long path.
 
 Defined cases: a null text counts as empty and has no span; null ids pass
 through; repeated rows are scanned independently; further columns are ignored.
@@ -82,20 +84,17 @@ def base_spans(text: str, low: str) -> list[tuple[str, int, int]]:
 
 def linked_spans(text: str, low: str, base: list[tuple[str, int, int]], rules: LinkRules) -> list[tuple[str, int, int]]:
     """Weak parts that have a complementary part in reach and scope."""
-    ids = [(s, e) for k, s, e in base if k == "access"]
+    taken = _Parts([(s, e) for _, s, e in base])
     secrets = [(s, e) for k, s, e in base if k != "access"]
+    weak_secrets = [m.span() for m in WEAK_SECRET.finditer(text) if not taken.meets(*m.span())]
+    if not secrets and not weak_secrets:
+        return []  # the other parts only count beside a secret
     weak_ids = []
     if any(h in low for h in WEAK_ID_HINTS):
-        weak_ids = [m.span() for m in WEAK_ID.finditer(text)]
-    if not ids and not secrets and not weak_ids:
-        return []
-    taken = _Parts([(s, e) for _, s, e in base])
-    weak_ids = [x for x in weak_ids if not taken.meets(*x)]
-    weak_secrets = []
-    if ids or weak_ids:
-        weak_secrets = [m.span() for m in WEAK_SECRET.finditer(text) if not taken.meets(*m.span())]
-    any_secret = _Parts(secrets + weak_secrets)
-    any_id = _Parts(ids + weak_ids)
+        weak_ids = [m.span() for m in WEAK_ID.finditer(text) if not taken.meets(*m.span())]
+    any_id = _Parts([(s, e) for k, s, e in base if k == "access"] + weak_ids)
+    points = [m.span() for m in ENDPOINT.finditer(text)]
+    starts_at, ends_at = [s for s, _ in points], [e for _, e in points]
     ends = [m.start() for m in SCOPE_END.finditer(text)]
     begins = [0] + [m.end() for m in SCOPE_END.finditer(text)]
 
@@ -104,11 +103,20 @@ def linked_spans(text: str, low: str, base: list[tuple[str, int, int]], rules: L
         last = ends[k] if k < len(ends) else len(text)
         return max(begins[k], s - rules.reach), min(max(last, e), e + rules.reach)
 
+    def complemented(s: int, e: int) -> bool:
+        """Whether a secret has an identifier, or an endpoint that it isn't part of, in its window."""
+        first, last = window(s, e)
+        before, after = bisect.bisect_right(ends_at, s), bisect.bisect_left(starts_at, e)
+        return (
+            any_id.meets(first, last) or before > 0 and ends_at[before - 1] > first
+            or after < len(points) and starts_at[after] < last
+        )
+
+    weak_secrets = [x for x in weak_secrets if complemented(*x)]
+    any_secret = _Parts(secrets + weak_secrets)
     out = [("id", *x) for x in weak_ids if any_secret.meets(*window(*x))]
-    out += [("secret", *x) for x in weak_secrets if any_id.meets(*window(*x))]
-    if any_secret.starts:
-        points = [m.span() for m in ENDPOINT.finditer(text)]
-        out += [("endpoint", *x) for x in points if not taken.meets(*x) and any_secret.meets(*window(*x))]
+    out += [("secret", *x) for x in weak_secrets]
+    out += [("endpoint", *x) for x in points if not taken.meets(*x) and any_secret.meets(*window(*x))]
     return out
 
 
