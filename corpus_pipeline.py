@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from riskgraph.functions.cluster import scratch_path
+from riskgraph.functions.cluster import materialize, scratch_path
 from riskgraph.llm import cotraining, minhash, packing, quality_rules, secrets
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -21,9 +22,21 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def minhash_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
-    keep = minhash.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.select(*COLUMNS).join(keep, "doc_id", "left_semi")
+    """One row of each class of near-duplicates, that of the smallest doc_id.
+
+    Rows are told apart by a key of their own, as ids may be null or repeat: rows with
+    a null id all stay, rows that repeat an id are decided each by its text, and rows
+    without a word are one if they share their id.
+    """
+    rows = docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row"))
+    rows = materialize(rows.withColumn("blank", ~F.coalesce("text", F.lit("")).rlike(r"(?U)\S")))
+    known = rows.where("doc_id is not null")
+    found = minhash.near_duplicates(known, "row").select(F.col("doc_id").alias("row"), "class_id")
+    found = found.join(known.select("row", "doc_id", "blank"), "row")
+    by = [F.when(~F.col("blank"), F.col("class_id")).alias("c"), F.when(F.col("blank"), F.col("doc_id")).alias("i")]
+    first = found.groupBy(*by).agg(F.min(F.struct("doc_id", "row")).alias("first")).select("first.row")
+    keep = first.unionByName(rows.where("doc_id is null").select("row"))
+    return rows.join(keep, "row", "left_semi").select(*COLUMNS)
 
 
 def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
