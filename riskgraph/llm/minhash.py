@@ -26,6 +26,8 @@ ignored. The class id is the smallest doc_id reachable by links.
 from __future__ import annotations
 
 import hashlib
+import itertools
+from functools import cache
 
 import numpy as np
 import xxhash
@@ -48,7 +50,7 @@ LONG, PASS, BLOCK = 1024, 0.76, 512
 PASS_BITS = 0.8625
 #: Bits of the filter on documents whose shingles are needed; it takes 1 MB whatever the input.
 FILTER_BITS = 1 << 23
-#: Heights at which cells of darts end; fixed, so that all texts share the darts.
+#: Heights at which cells of darts end; fixed, so that all texts share the darts. Further cells double the height.
 CELLS = [0.0, *(2.0**e for e in range(-4, 13, 2))]
 WORDS_KNOWN = 200_000
 _M1, _M2, _G = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -86,8 +88,14 @@ class _WordHashes(dict):
 
 
 _words = _WordHashes()
-_seeds = [np.uint64((0x9E3779B97F4A7C15 * (i + 1)) % 2**64) for i in range(len(CELLS))]
-_counts = {i: _poisson(CELLS[i + 1] - CELLS[i]) for i in range(len(CELLS) - 1)}
+
+
+@cache
+def _cell(i: int) -> tuple[np.uint64, np.ndarray]:
+    """The seed of a cell of heights, and the cumulative probabilities of its darts per shingle."""
+    last = len(CELLS) - 2
+    width = CELLS[i + 1] - CELLS[i] if i <= last else CELLS[-1] * 2.0 ** (i - last - 1)
+    return np.uint64((0x9E3779B97F4A7C15 * (i + 1)) % 2**64), _poisson(width)
 
 
 def strips(text: str | None) -> np.ndarray:
@@ -111,9 +119,12 @@ def strips(text: str | None) -> np.ndarray:
 
 def signature(elements: np.ndarray, k: int) -> np.ndarray:
     """The hash of the earliest dart for each of ``k`` coordinates."""
+    if not len(elements):
+        raise ValueError("no shingle throws a dart")
     out, empty = np.zeros(k, dtype=np.uint64), np.ones(k, dtype=bool)
-    for c, cdf in _counts.items():
-        seed = mix(elements + _seeds[c])
+    for c in itertools.count():
+        salt, cdf = _cell(c)
+        seed = mix(elements + salt)
         n = np.searchsorted(cdf, _unit(seed), side="right")
         total = int(n.sum())
         if not total:
@@ -131,8 +142,8 @@ def signature(elements: np.ndarray, k: int) -> np.ndarray:
         out[at[first]] = dart[order][first]
         empty[at[first]] = False
         if not empty.any():
-            return out
-    raise ValueError("coordinates without a dart")
+            break
+    return out
 
 
 def band_hashes(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
