@@ -80,7 +80,6 @@ class CommunityConfig:
     cohesion_levels: tuple[float, float, float] = (0.05, 0.30, 0.60)
     core_density: float = 0.70
     core_age_days: int = 30
-    move_rounds: int = 20
 
 
 @dataclass(frozen=True)

@@ -12,35 +12,40 @@ from riskgraph.operators.links import symmetric
 from riskgraph.operators.topology import components
 
 
-def local_moves(pdf: pd.DataFrame, rounds: int) -> pd.DataFrame:
-    """Greedy moves within one component, vertices in order of id.
+#: Rounds after which moves of a giant component that don't settle raise an error.
+PARALLEL_ROUNDS = 1000
+
+
+def local_moves(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Greedy moves within one component, vertices in order of id, until none moves.
 
     A vertex joins the neighbouring community with the largest incident weight if
     that is strictly more than the weight to its own; ties go to the smaller label.
+    Every move raises the weight inside communities, so the moves end.
     """
     near: dict[int, list[tuple[int, float]]] = {}
     for s, d, w in zip(pdf["src"], pdf["dst"], pdf["weight"], strict=True):
         near.setdefault(s, []).append((d, w))
         near.setdefault(d, []).append((s, w))
     label = {v: v for v in near}
-    for _ in range(rounds):
+    order, moved = sorted(near), True
+    while moved:
         moved = False
-        for v in sorted(near):
+        for v in order:
             weight: dict[int, float] = {}
             for u, w in near[v]:
                 weight[label[u]] = weight.get(label[u], 0.0) + w
             best = min(weight, key=lambda c: (-weight[c], c))
             if weight[best] > weight.get(label[v], 0.0):
                 label[v], moved = best, True
-        if not moved:
-            break
     return pd.DataFrame({"id": list(label), "label": list(label.values())})
 
 
-def _parallel_moves(edges: DataFrame, rounds: int) -> DataFrame:
+def _parallel_moves(edges: DataFrame, rounds: int = PARALLEL_ROUNDS) -> DataFrame:
     """The same moves for a component of any size: vertices of alternating hash parity move together."""
     both = materialize(symmetric(edges, "weight"))
     label = materialize(both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
+    settled = False  # both halves have to stay in place, one after the other
     for r in range(rounds):
         at = both.join(label.select(F.col("id").alias("dst"), F.col("label").alias("c")), "dst")
         weight = at.groupBy(F.col("src").alias("id"), "c").agg(F.sum("weight").alias("w"))
@@ -51,30 +56,30 @@ def _parallel_moves(edges: DataFrame, rounds: int) -> DataFrame:
         new = own.join(best, "id").select("id", F.when(better, -F.col("b.m")).otherwise(F.col("label")).alias("label"), better.alias("moved"))
         new = materialize(new)
         label = new.select("id", "label")
-        if r % 2 and not new.where("moved").limit(1).count():
-            break
-    return label
+        still = not new.where("moved").limit(1).count()
+        if still and settled:
+            return label
+        settled = still
+    raise RuntimeError(f"communities still move after {rounds} rounds")
 
 
-def detect(edges: DataFrame, cfg: CommunityConfig | None = None, largest_local: int = 200_000) -> DataFrame:
+def detect(edges: DataFrame, largest_local: int = 200_000) -> DataFrame:
     """``id, id_communaute`` by greedy weighted moves from singletons, numbered densely.
 
     Components up to ``largest_local`` edges are solved one per group; larger ones go
     through parallel rounds, so no task holds a giant component.
     """
-    cfg = cfg or CommunityConfig()
     ship_package(edges.sparkSession)
     e = edges.select("src", "dst", "weight").where("src <> dst")
     comp = components(e)
     e = materialize(e.join(comp.select(F.col("id").alias("src"), "component"), "src"))
     sizes = e.groupBy("component").agg(F.count("*").alias("n"))
     giant = sizes.where(F.col("n") > largest_local).select("component")
-    rounds = cfg.move_rounds
     small = e.join(giant, "component", "left_anti").groupBy("component").applyInPandas(
-        lambda pdf: local_moves(pdf, rounds), "id bigint, label bigint"
+        lambda pdf: local_moves(pdf), "id bigint, label bigint"
     )
     if giant.limit(1).count():
-        small = small.unionByName(_parallel_moves(e.join(giant, "component", "left_semi").select("src", "dst", "weight"), rounds))
+        small = small.unionByName(_parallel_moves(e.join(giant, "component", "left_semi").select("src", "dst", "weight")))
     small = materialize(small)
     number = small.groupBy("label").agg(F.count("*").alias("n")).select("label", (F.dense_rank().over(Window.orderBy("label")) - 1).alias("id_communaute"))
     return small.join(number, "label").select("id", F.col("id_communaute").cast("bigint").alias("id_communaute"))

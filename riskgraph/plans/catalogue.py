@@ -17,6 +17,7 @@ from riskgraph.sources import generator, tables
 REJECT_AS_OF = "2024-07-10 00:00:00"
 FLAG_AS_OF = "2024-02-15 00:00:00"
 LINK_AS_OF = "2000-01-01 00:00:00"
+#: The SQL of the graph queries takes purchases above these values; what has no SQL takes all of them.
 EDGE_ABOVE, PATH_ABOVE = 100.0, 150.0
 GENERATED_AS_OF = "2024-07-01 00:00:00"
 RANK_ROUNDS = 10
@@ -112,7 +113,7 @@ def pagerank_k(spark, d):
 
 
 def pagerank_converged(spark, d):
-    return topology.pagerank(tables.purchase_edges(spark, d, PATH_ABOVE)).select("id", F.round("rank", 6).alias("rank"))
+    return topology.pagerank(tables.purchase_edges(spark, d)).select("id", F.round("rank", 6).alias("rank"))
 
 
 def cliques(spark, d):
@@ -141,7 +142,9 @@ def components(spark, d):
 
 
 def communities(spark, d):
-    return com.detect(_confidence(spark, d).withColumnRenamed("score_confiance", "weight"))
+    facts = confidence.event_facts(tables.risk_events(spark, d))
+    scored = confidence.link_confidence(tables.purchase_edges(spark, d), facts, FLAG_AS_OF)
+    return com.detect(scored.withColumnRenamed("score_confiance", "weight"))
 
 
 def _groups(spark, d, above: float) -> DataFrame:

@@ -33,9 +33,11 @@ def risk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def purchase_edges(spark: SparkSession, sf_dir: str, above: float) -> DataFrame:
-    """Distinct directed edges (user, k) of purchases with a value above a limit, loops left out."""
-    e = read(spark, sf_dir, "events").where((F.col("event_type") == "purchase") & (F.col("value") > above))
+def purchase_edges(spark: SparkSession, sf_dir: str, above: float | None = None) -> DataFrame:
+    """Distinct directed edges (user, k) of purchases, all or with a value above a limit, loops left out."""
+    e = read(spark, sf_dir, "events").where("event_type = 'purchase'")
+    if above is not None:
+        e = e.where(F.col("value") > above)
     return (
         e.select(F.col("user_id").alias("src"), F.get_json_object("props", "$.k").cast("bigint").alias("dst"))
         .where("src <> dst").distinct()
