@@ -11,17 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
-#: Rows per Arrow batch for operators over long texts; it bounds a Python worker's memory.
-ARROW_ROWS = 200
+#: Bytes of an Arrow batch, where the session has no limit of its own; it bounds a Python worker's memory.
+ARROW_BYTES = "8m"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
     """Makes this package importable in Python workers, once per application.
 
     The package is zipped on the driver and handed to ``addPyFile``, so executors
-    fetch it from the driver and no path has to exist on their machines.
+    fetch it from the driver and no path has to exist on their machines. Batches of
+    long rows are bounded by their bytes, which changes no result; the number of rows
+    in a batch stays the session's.
     """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    if spark.conf.get(_BATCH) == "67108864b":  # the default
+        spark.conf.set(_BATCH, ARROW_BYTES)
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
@@ -41,35 +45,56 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) a temporary folder is used instead.
+    Only where that is unset and the master is local, as in tests, a temporary folder
+    is used instead; on a cluster that would be one machine's own, so it is an error.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    current = sc._jsc.sc().getCheckpointDir()
     if path:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(path)
+        if current.isEmpty():
+            sc.setCheckpointDir(path)
         return path
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="riskgraph_ck_"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    if sc.master.split("[")[0] != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="riskgraph_ck_"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the application's part of the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/riskgraph/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
     """Writes ``df`` into the shared folder as Parquet and reads it back.
 
     This cuts lineage: a lost executor costs a re-read of files, never a
-    recomputation of what came before. Files are removed with the folder.
+    recomputation of what came before. The files of ``instead``, an earlier result of
+    this function that nobody reads any more, are removed; all others stay until
+    ``clean`` or until the folder goes.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/riskgraph/{uuid.uuid4().hex}"
+    path = scratch_path(spark, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if instead is not None:
+        _remove(spark, instead._scratch)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/riskgraph/{name}-{uuid.uuid4().hex}"
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this application; frames that still read them fail afterwards."""
+    _remove(spark, f"{shared_dir(spark).rstrip('/')}/riskgraph/{spark.sparkContext.applicationId}")
 
 
 def hash_sample(df: DataFrame, keys: list[str], limit: int, salt: str) -> DataFrame:

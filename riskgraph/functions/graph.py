@@ -45,7 +45,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         small = (
             large.join(down, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         )
-        e = materialize(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct())
+        e = materialize(small.unionByName(down.select("u", F.col("m").alias("v"))).distinct(), instead=e)
         now = _fingerprint(e)
         if now == seen:
             break
