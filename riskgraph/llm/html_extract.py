@@ -3,14 +3,20 @@
 The page is parsed into a tree without what is never content. Each paragraph
 passes points for its length and commas to its parent and, halved, to the next
 ancestors; a container's points are discounted by its link density. The best
-container is kept (widened to the article or main element around it, if any)
-with those siblings that score well beside it. Elements that class, id or role
-name as page furniture are left out, unless they wrap an article and half of the
-page's text.
+container is kept, widened to the article or main element around it, with those
+siblings, its own and its ancestors', that score well beside it. Beside a plain
+container short paragraphs, bare text, lists and headings stay as well, beside an
+article or main element only a heading that what is kept follows.
+
+Elements that class, id or role name as page furniture are left out where they are
+small or link-dense. One that holds half of the page's text is a wrapper and only
+loses points, if its name may also mean something else (as "widget" or "header") or
+if an article or main element is in it. Readers' comments are always left out.
 
 Defined cases: null or empty html gives an empty text; unclosed and stray tags
-are repaired as browsers do for paragraphs and list items; null ids pass
-through; repeated rows are extracted independently; further columns are ignored.
+are repaired as browsers do for paragraphs and list items; of containers with the
+same points the one that begins first is the best; null ids pass through; repeated
+rows are extracted independently; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +41,7 @@ BLOCKS = frozenset(
     "h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
 )
 PARAGRAPHS = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}
 #: Start tag -> open elements that it ends, and those that stop the search.
 ENDS = {
@@ -45,21 +52,28 @@ ENDS = {
     "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
 }
-#: Words of class, id and role values that mark page furniture (fixed values).
-FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|advertisement|advertising|adslot|banner|sponsor|sponsored|promo|promotion|cookie|"
-    r"cookies|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|menu|"
-    r"nav|navbar|navigation|breadcrumb|breadcrumbs|header|masthead|footer|sidebar|sidebars|aside|rail|widget|related|"
-    r"recommended|share|sharing|social|comment|comments|disqus|replies|respond|login|search|pager|pagination|toolbar|"
-    r"complementary|contentinfo|hidden|skip)(?:$|[\s_-])",
-    re.I,
+#: Words of class, id and role values that mark page furniture wherever they stand (fixed values).
+FURNITURE = frozenset(
+    "ad ads adv advert advertisement advertising adslot sponsor sponsored promotion cookie cookies consent gdpr popup modal "
+    "overlay newsletter subscribe subscription signup menu nav navbar navigation breadcrumb breadcrumbs masthead footer "
+    "sidebar sidebars login pager pagination toolbar complementary contentinfo hidden skip".split()
+)
+#: Words that mark it unless the same name speaks of content as well (fixed values).
+LOOSE = frozenset(
+    "banner promo notice notification alert header aside rail widget related recommended share sharing social respond search".split()
 )
-#: Those of them that stand for reader comments, also on an article element (fixed values).
-COMMENTS = re.compile(r"(?:^|[\s_-])(?:comment|comments|disqus|replies|respond)(?:$|[\s_-])", re.I)
+CONTENT = frozenset("article post entry content story text body main title heading headline".split())
+#: Words that stand for reader comments, also on an article element (fixed values).
+COMMENTS = frozenset("comment comments disqus replies respond".split())
+#: Of the furniture, what also a paragraph or inline element can be (fixed values).
+SMALL_PARTS = frozenset("ad ads adv advert advertisement advertising sponsor sponsored cookie cookies consent gdpr newsletter breadcrumb breadcrumbs hidden".split())
+NAME = re.compile(r"[\s_-]+")
+#: Link density from which named furniture is left out, and the share of the page's text from which it is a wrapper.
+LINKED, WRAPS = 0.5, 0.5
 #: Names that only say how a page is laid out, as in "no-sidebar" (fixed values).
 LAYOUT = re.compile(r"(?:^|(?<=\s))(?:no|has|with|without|hide|show)[_-]\S*", re.I)
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:(?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>]))*+)>",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:(?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>]))*+)>",
     re.S,
 )
 #: Where a tag begins that never ends.
@@ -68,10 +82,10 @@ ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 
 
 class Node:
-    __slots__ = ("name", "parent", "items", "drop", "suspect", "wraps", "score", "text_len", "link_len")
+    __slots__ = ("name", "parent", "items", "drop", "suspect", "score", "text_len", "link_len")
 
-    def __init__(self, name: str, parent: Node | None, drop: bool, suspect: bool = False, wraps: bool = True):
-        self.name, self.parent, self.drop, self.suspect, self.wraps = name, parent, drop, suspect, wraps
+    def __init__(self, name: str, parent: Node | None, drop: bool):
+        self.name, self.parent, self.drop, self.suspect = name, parent, drop, ""
         self.items: list = []
         self.score = 0.0
         self.text_len = self.link_len = 0
@@ -87,32 +101,47 @@ def _hidden(raw: str) -> bool:
     return False
 
 
-def _furniture(name: str, raw: str) -> tuple[bool, bool]:
-    """Whether class, id or role name page furniture, and readers' comments; an article can only be the latter."""
+def _furniture(name: str, raw: str) -> str:
+    """What class, id or role name: "said" for readers' comments, "sure" or "loose" for furniture, or "".
+
+    An article can only be the first.
+    """
     if name in ("body", "html", "main"):
-        return False, False
+        return ""
     values = (LAYOUT.sub("", html_lib.unescape(v.strip("\"'"))) for k, v in ATTR.findall(raw) if k.lower() in ("class", "id", "role"))
-    named = " ".join(values)
-    said = bool(COMMENTS.search(named))
-    return said or name != "article" and bool(FURNITURE.search(named)), said
+    words = set(NAME.split(" ".join(values).lower()))
+    if words & COMMENTS and not (words & CONTENT and words & COMMENTS == {"respond"}):
+        return "said"
+    if name == "article":
+        return ""
+    if name not in BLOCKS or name in PARAGRAPHS:
+        return "sure" if words & SMALL_PARTS else ""
+    if words & FURNITURE:
+        return "sure"
+    return "loose" if words & LOOSE and not words & CONTENT else ""
 
 
 def _settle(root: Node) -> None:
-    """Drops suspects, except wrappers: those around an article or main element and half of the page's text."""
+    """Drops suspects, except wrappers: those that hold half of the page's text, mostly not as links."""
     order, todo = [], [root]
     while todo:
         x = todo.pop()
         order.append(x)
         todo.extend(c for c in x.items if isinstance(c, Node) and not c.drop)
     size: dict[int, int] = {}
+    linked: dict[int, int] = {}
     holds: set[int] = set()
     for x in reversed(order):
         nodes = [c for c in x.items if isinstance(c, Node) and not c.drop]
-        size[id(x)] = sum(len(c.strip()) for c in x.items if isinstance(c, str)) + sum(size[id(c)] for c in nodes)
+        own = size[id(x)] = sum(len(c.strip()) for c in x.items if isinstance(c, str)) + sum(size[id(c)] for c in nodes)
+        linked[id(x)] = own if x.name == "a" else sum(linked[id(c)] for c in nodes)
         if x.name in ("article", "main") and not x.suspect or any(id(c) in holds for c in nodes):
             holds.add(id(x))
     for x in order:
-        if x.suspect and not (x.wraps and id(x) in holds and 2 * size[id(x)] >= size[id(root)]):
+        if not x.suspect:
+            continue
+        big = size[id(x)] >= WRAPS * size[id(root)] and linked[id(x)] < LINKED * max(1, size[id(x)])
+        if not big or x.suspect == "said" or x.suspect == "sure" and id(x) not in holds:
             x.drop = True
 
 
@@ -137,7 +166,7 @@ def parse(page: str) -> Node:
         text(page[at : m.start()])
         at = m.end()
         if m[2] is None:
-            if m[0].startswith("<!--") and not m[0].endswith("-->"):
+            if m[0].startswith("<!--") and not m[0].endswith(("-->", "--!>")):
                 break
             if m[0].startswith("<![CDATA["):
                 text(m[0][9:-3])
@@ -173,9 +202,9 @@ def parse(page: str) -> Node:
         top = stack[-1]
         node = Node(name, top, top.drop or name in DROPPED or bool(m[3]) and _hidden(m[3]))
         if not node.drop and m[3]:
-            node.suspect, said = _furniture(name, m[3])
-            node.wraps = not said
-        node.suspect |= name == "form"
+            node.suspect = _furniture(name, m[3])
+        if name == "form":
+            node.suspect = node.suspect or "loose"
         top.items.append(node)
         if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCKS:
             continue
@@ -219,22 +248,22 @@ def blocks(node: Node) -> list[str]:
 
 
 def _measure(root: Node) -> list[Node]:
-    """Text and link lengths bottom-up; paragraphs hand points to their ancestors."""
+    """Elements in page order; text and link lengths bottom-up; paragraphs hand points to their ancestors."""
     order, todo = [], [root]
     while todo:
         x = todo.pop()
         order.append(x)
-        todo.extend(c for c in x.items if isinstance(c, Node) and not c.drop)
+        todo.extend(c for c in reversed(x.items) if isinstance(c, Node) and not c.drop)
     for x in reversed(order):
-        commas = 0
+        commas = own = 0
         for c in x.items:
             if isinstance(c, str):
-                x.text_len += len(c.strip())
+                own += len(c.strip())
                 commas += c.count(",")
             elif not c.drop:
                 x.text_len += c.text_len
                 x.link_len += c.text_len if c.name == "a" else c.link_len
-        own = sum(len(c.strip()) for c in x.items if isinstance(c, str))
+        x.text_len += own
         if x.name in PARAGRAPHS and x.text_len or own >= 25 and x.name in ("div", "section", "article", "main", "body"):
             points = 1 + commas + min(x.text_len // 100, 3)
             up, share = (x.parent, 1.0) if x.name in PARAGRAPHS else (x, 1.0)
@@ -248,33 +277,81 @@ def _density(x: Node) -> float:
     return x.link_len / x.text_len if x.text_len else 0.0
 
 
+def _value(x: Node) -> float:
+    """Points after the discounts for links and for a furniture name."""
+    return x.score * (1 - _density(x)) * (0.5 if x.suspect else 1.0)
+
+
+def _stays(c: Node, limit: float, plain: bool) -> bool:
+    """Whether a block beside the kept subtree is kept; ``plain`` where that is no article or main."""
+    if not c.text_len or _density(c) >= 0.25:
+        return False
+    if c.name in ("div", "section", "article", "main", "table", "center"):
+        return _value(c) >= limit
+    return plain
+
+
+def _run(items: list) -> list[str]:
+    """The block that bare text and inline elements side by side make, unless half of it are links."""
+    whole = Node("#run", None, False)
+    whole.items = items
+    links = sum(c.text_len if c.name == "a" else c.link_len for c in items if isinstance(c, Node))
+    size = sum(len(c.strip()) if isinstance(c, str) else c.text_len for c in items)
+    return blocks(whole) if 2 * links < size else []
+
+
+def _beside(kept: Node, limit: float, plain: bool) -> tuple[list[str], list[str]]:
+    """Blocks before and after ``kept`` among its siblings that are kept with it."""
+    out: list[str] = []
+    before: list[str] = []
+    heads: list[str] = []  # headings that nothing kept follows yet
+    run: list = []
+
+    def flush() -> None:
+        nonlocal heads
+        if run and plain and (found := _run(list(run))):
+            out.extend(heads + found)
+            heads = []
+        run.clear()
+
+    for c in [*kept.parent.items, None]:
+        if isinstance(c, str) or c is not None and c is not kept and c.name not in BLOCKS:
+            if isinstance(c, str) or not c.drop:
+                run.append(c)
+            continue
+        flush()
+        if c is None:
+            break
+        if c is kept:
+            before, out, heads = out + heads, [], []
+        elif not c.drop and c.name in HEADINGS and _density(c) < 0.25:
+            heads += blocks(c)
+        elif not c.drop and _stays(c, limit, plain):
+            out += heads + blocks(c)
+            heads = []
+    return before, out + heads if plain else out
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
     order = _measure(root)
-    value = {id(x): x.score * (1 - _density(x)) for x in order}
-    best = max((x for x in order if x.name not in PARAGRAPHS), key=lambda x: value[id(x)], default=root)
-    if value[id(best)] <= 0:
+    best = max((x for x in order if x.name not in PARAGRAPHS), key=_value, default=root)
+    if _value(best) <= 0:
         best = root
-    up = best
+    limit = 0.2 * _value(best)
+    kept, up = best, best
     while up is not None:
         if up.name in ("article", "main"):
-            best = up
+            kept = up
         up = up.parent
-    if best.name in ("article", "main") or best.parent is None:
-        return "\n\n".join(blocks(best))
-    limit = max(3.0, 0.2 * value[id(best)])
-    out: list[str] = []
-    for c in best.parent.items:
-        if isinstance(c, str) or c.drop:
-            continue
-        if c is best:
-            out += blocks(c)
-        elif c.name in PARAGRAPHS and c.text_len and _density(c) < 0.25 and (c.text_len > 80 or c.name in ("h1", "h2", "h3")):
-            out += blocks(c)
-        elif value[id(c)] >= limit and _density(c) < 0.25:
-            out += blocks(c)
+    plain = kept.name not in ("article", "main")
+    out = blocks(kept)
+    while kept.parent is not None:
+        before, after = _beside(kept, limit, plain)
+        out = before + out + after
+        kept, plain = kept.parent, False
     return "\n\n".join(out)
 
 
