@@ -1,15 +1,21 @@
 """Quality rules by line-first cleaning.
 
-Each line of a text is judged on its own (punctuation, navigation, boilerplate,
-repetition); failing lines are removed; a text that loses too much is rejected.
+Each line of a text is judged on its own: by punctuation (too many symbols, marks or
+separators, long lines without any mark), as navigation (menu words, and runs of
+short lines that end without a mark), as boilerplate (legal and cookie phrases of
+several languages, copyright notes, bare links), and as a repetition. Failing lines
+are removed; a text that loses too much is rejected.
 
 Defined cases: a null text counts as empty; an empty text has no words and is
-rejected (``base_failed``); null ids pass through; repeated rows are judged
-independently; other columns of the input are ignored.
+rejected (``base_failed``); of equal lines the first stays; a cleaned text is the
+lines that passed, without blank ones, and ``keep_documents`` leaves a text that loses
+no line as it is; null ids pass through; repeated rows are judged independently; other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,14 +29,31 @@ SCHEMA = (
     "n_repeat_words bigint, base_failed boolean, kept boolean, kept_words bigint, n_lines_removed bigint, clean_text string"
 )
 #: Phrases that mark a line as boilerplate wherever it stands (fixed values).
-BOILERPLATE = (
-    b"all rights reserved", b"cookie policy", b"privacy policy", b"terms of use", b"terms of service",
-    b"enable javascript", b"lorem ipsum", b"accept cookies", b"subscribe to our newsletter",
+BOILERPLATE = tuple(
+    p.encode()
+    for p in (
+        "all rights reserved", "alle rechte vorbehalten", "tous droits réservés", "todos los derechos reservados",
+        "cookie policy", "accept cookies", "we use cookies", "cookie-richtlinie", "politique de cookies", "política de cookies",
+        "privacy policy", "datenschutzerklärung", "politique de confidentialité", "política de privacidad",
+        "terms of use", "terms of service", "nutzungsbedingungen", "conditions d'utilisation", "términos de uso",
+        "enable javascript", "lorem ipsum", "subscribe to our newsletter", "newsletter abonnieren",
+    )
 )
 #: Words of menus; a short line made of them only is navigation (fixed values).
 NAVIGATION = frozenset(
-    b"home login logout register search menu contact about next previous back top share print sitemap help faq".split()
+    w.encode()
+    for w in (
+        "home login logout register search menu contact about next previous back top share print sitemap help faq "
+        "startseite anmelden suche kontakt impressum weiter zurück accueil connexion recherche suivant précédent inicio "
+        "buscar contacto siguiente anterior"
+    ).split()
 )
+#: What a line may end with: marks, closing quotes and brackets of the scripts that have them (fixed values).
+ENDS = tuple(c.encode() for c in ".!?:;,\"')]}»”’…。！？；：，、」』）؟।")
+#: Marks of which running text has some (fixed values).
+MARKS = tuple(c.encode() for c in ".,;:!?…。！？，、؛؟।")
+COPYRIGHT = re.compile("(?:©|\\(c\\)|copyright).{0,40}(?:19|20)[0-9]{2}".encode(), re.I)
+LINK = re.compile(rb"\s*(?:https?://|www\.)\S+\s*")
 
 
 @dataclass(frozen=True)
@@ -40,6 +63,9 @@ class LineRules:
     max_symbol_share: float = 0.25  # symbols to words of a line
     max_bangs: float = 0.25  # '!!' to words of a line
     max_pipes: float = 0.2  # separators to words of a line
+    max_unmarked: int = 40  # words of a line without any mark
+    menu_words: int = 5  # words of a line that may be part of a menu, if it ends without a mark
+    menu_run: int = 3  # such lines in a row that make a menu
     max_same_word: float = 0.5  # share of the commonest word in a line of 10 words or more
     min_kept_share: float = 0.5  # of a text's words, in lines that passed
     min_words: int = 50
@@ -79,10 +105,14 @@ def line_passes(line: bytes, n: int, rules: LineRules) -> bool:
         return False
     if line.count(b"!!") > rules.max_bangs * n:
         return False
-    if line.count(b"|") > rules.max_pipes * n:
+    if line.count(b"|") + line.count("•".encode()) > rules.max_pipes * n:
+        return False
+    if n > rules.max_unmarked and not any(m in line for m in MARKS):
         return False
     low = line.lower()
-    if any(p in low for p in BOILERPLATE):
+    if any(p in low for p in BOILERPLATE) or n <= 2 and LINK.fullmatch(line):
+        return False
+    if n <= 12 and (b"(c)" in low or b"copyright" in low or "©".encode() in line) and COPYRIGHT.search(line):
         return False
     words = low.split()
     if n <= 6 and all(w.strip(b".,:;>|") in NAVIGATION for w in words):
@@ -96,6 +126,22 @@ def line_passes(line: bytes, n: int, rules: LineRules) -> bool:
     return True
 
 
+def menu_lines(lines: list[bytes], sizes: list[int], rules: LineRules) -> set[int]:
+    """Numbers of the lines that stand in a run of short ones without an end mark; blank lines don't end a run."""
+    out: set[int] = set()
+    run: list[int] = []
+    for i, k in enumerate([*sizes, rules.menu_words + 1]):
+        if not k:
+            continue
+        if k <= rules.menu_words and not lines[i].rstrip().endswith(ENDS):
+            run.append(i)
+            continue
+        if len(run) >= rules.menu_run:
+            out.update(run)
+        run = []
+    return out
+
+
 def judge(text: str | None, rules: LineRules, want_text: bool) -> tuple:
     """Base counts, verdict and cleaned text of one document."""
     text = text or ""
@@ -108,8 +154,10 @@ def judge(text: str | None, rules: LineRules, want_text: bool) -> tuple:
     seen: set[bytes] = set()
     dup = removed = kept_words = 0
     kept_lines = []
-    for line in raw.split(b"\n"):
-        k = len(line.split())
+    lines = raw.split(b"\n")
+    sizes = [len(line.split()) for line in lines]
+    menu = menu_lines(lines, sizes, rules)
+    for i, (line, k) in enumerate(zip(lines, sizes, strict=True)):
         if not k:
             continue
         if line in seen:
@@ -117,7 +165,7 @@ def judge(text: str | None, rules: LineRules, want_text: bool) -> tuple:
             removed += 1
             continue
         seen.add(line)
-        if line_passes(line, k, rules):
+        if i not in menu and line_passes(line, k, rules):
             kept_words += k
             kept_lines.append(line)
         else:
@@ -144,13 +192,26 @@ def quality_rules(
     return map_rows(docs, [id_col, text_col], factory, SCHEMA)
 
 
-def keep_documents(docs: DataFrame, text_col: str = "text", rules: LineRules | None = None) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns; texts are filtered in place, not joined."""
+def keep_documents(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars", rules: LineRules | None = None) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns and without their failing lines.
+
+    Texts are filtered in place, not joined; a text's size changes only where a line went.
+    """
     rules = rules or LineRules()
     names = docs.columns
-    at = names.index(text_col)
+    text_at, size_at = names.index(text_col), names.index(size_col)
 
     def factory():
-        return lambda *row: (row,) if judge(row[at], rules, False)[6] else ()
+        def one(*row):
+            judged = judge(row[text_at], rules, True)
+            if not judged[6]:
+                return ()
+            if not judged[8]:
+                return (row,)
+            row = list(row)
+            row[text_at], row[size_at] = judged[9], len(judged[9])
+            return (tuple(row),)
+
+        return one
 
     return map_rows(docs, names, factory, row_schema(docs), many=True)
