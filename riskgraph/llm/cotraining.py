@@ -1,24 +1,30 @@
 """Quality classifier by co-training on two views.
 
-One classifier sees the text's content, another the page's metadata (language,
-source, stated length). Both start from the labelled rows; in each round each
-hands the rows of an unlabelled pool that it is sure of, with its labels, to the
-other. Then both are calibrated on labelled rows held out, and their log odds are
-added (less the prior, which both contain) to score every document.
-
-Features of all documents are computed once and kept as a table; training reads a
-bounded sample of it, chosen by hash: ``Settings.labelled`` labelled and
-``Settings.pool`` unlabelled rows. Scoring is a column expression over all rows.
+One classifier sees the text's content (its shape and its hashed word and character
+n-grams), another the page's metadata (language, source, stated length). Both start
+from the labelled rows; in each round each scores all unlabelled rows and hands those
+that it is surest of, with its labels, to the other. Then both are calibrated on
+labelled rows held out, and their log odds are added (less the prior, which both
+contain) to score every document.
+
+Features of all documents are computed once and kept as a table. Training reads at
+most ``Settings.labelled`` labelled rows of the documents at hand, chosen by hash, and
+is handed at most ``Settings.handed`` unlabelled rows per view and round: those are
+found over the whole table, by counting its rows by their odds first. Scoring is a
+column expression over all rows, in training as at the end.
 
 Defined cases: a null text counts as empty, a null language, source or length is
 a category of its own; labels that are null, or tie within one doc_id, are not
 used; if no label of both classes is left, every document scores 0.5 and is kept;
-rows repeating a doc_id are scored independently; further columns are ignored.
+rows that tie in their odds are taken by hash of doc_id; rows repeating a doc_id
+are scored independently; rows without a doc_id are scored, not trained on; further
+columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,29 +35,57 @@ from pyspark.sql import functions as F
 from riskgraph.functions.cluster import hash_sample, materialize
 from riskgraph.llm.rows import map_rows, row_schema
 
-FEATURES = "doc_id bigint, content array<double>, meta array<double>"
-LANGS, SOURCES = 8, 32
+#: Hashed categories of languages and sources, and hashed buckets of n-grams.
+LANGS, SOURCES, GRAMS = 8, 32, 256
+#: Letters of a character n-gram, and words whose buckets a worker remembers.
+LETTERS, WORDS_KNOWN = 4, 200_000
+SHAPE = 16
+VIEWS = {"content": SHAPE + GRAMS, "meta": LANGS + SOURCES + 2}
+#: Bins per unit of log odds in which rows are counted.
+BINS = 8
 
 
 @dataclass(frozen=True)
 class Settings:
     labelled: int = 6000  # labelled rows used at most, by hash of doc_id
-    pool: int = 6000  # unlabelled rows used at most, by hash of doc_id
+    rare: int = 200  # of each class, if there are so many
+    handed: int = 600  # unlabelled rows that a view hands over in a round at most
     held_out: float = 0.3  # of the labelled rows, for calibration
-    rounds: int = 4
+    rounds: int = 3
     sure: float = 0.95
-    share: float = 0.1  # of the pool that a view hands over in a round at most
     ridge: float = 1e-2
     keep_at: float = 0.5
 
 
+class _Buckets(dict):
+    """Signed buckets of a word and of its character n-grams: bucket, plus ``GRAMS`` for a negative sign."""
+
+    def __missing__(self, word: bytes) -> np.ndarray:
+        edged = b"<" + word + b">"
+        grams = {word, *(b"#" + edged[i : i + LETTERS] for i in range(max(1, len(edged) - LETTERS + 1)))}
+        out = np.array([xxhash.xxh32_intdigest(g) % (2 * GRAMS) for g in sorted(grams)], dtype=np.int64)
+        if len(self) >= WORDS_KNOWN:
+            self.clear()
+        self[word] = out
+        return out
+
+
+_buckets = _Buckets()
+
+
+def gram_view(words: list[bytes]) -> np.ndarray:
+    """Signed hashed counts of words and character n-grams, relative to all of them."""
+    hit = np.bincount(np.concatenate([_buckets[w] for w in words]), minlength=2 * GRAMS)
+    return (hit[:GRAMS] - hit[GRAMS:]) / hit.sum()
+
+
 def content_view(text: str | None) -> list[float]:
-    """Shape of a text: sixteen shares and logarithms, whatever its language."""
+    """Sixteen shares and logarithms of a text's shape, whatever its language, and its n-grams."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     n = len(words)
     if not n:
-        return [0.0] * 16
+        return [0.0] * VIEWS["content"]
     size = len(raw)
 
     def share(chars: bytes) -> float:
@@ -63,17 +97,18 @@ def content_view(text: str | None) -> list[float]:
     pairs = len(set(zip(words, words[1:], strict=False)))
     symbols = (size - len(raw.translate(None, b"#*$%&<>"))) / n
     upper = share(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    return [
+    shape = [
         math.log1p(n), min(symbols, 2.0), min(raw.count(b"!!") / n, 2.0), min(raw.count(b"|") / n, 2.0),
         upper, 1.0 if upper > 0.4 else 0.0, share(b"0123456789"), share(b".,;:"),
         kinds / n, pairs / max(1, n - 1), min(size / n, 40.0) / 10, 1 - len(set(lines)) / len(lines),
         ended / len(lines), min(len(lines) / n, 1.0), 1.0 if n < 50 else 0.0, min(math.log1p(size / len(lines)), 12.0),
     ]
+    return shape + gram_view([w.lower() for w in words]).tolist()
 
 
 def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
     """One-hot hashes of language and source, and the stated length."""
-    out = [0.0] * (LANGS + SOURCES + 2)
+    out = [0.0] * VIEWS["meta"]
     out[xxhash.xxh32_intdigest(lang or "") % LANGS] = 1.0
     out[LANGS + xxhash.xxh32_intdigest(source or "") % SOURCES] = 1.0
     out[-2] = math.log1p(max(0, n_chars or 0))
@@ -137,10 +172,18 @@ class Model:
         return self.content.odds(content) + self.meta.odds(meta) - self.prior
 
 
-def co_train(
-    content: np.ndarray, meta: np.ndarray, label: np.ndarray, pool_content: np.ndarray, pool_meta: np.ndarray, settings: Settings
-) -> Model | None:
-    """Both views; None where the labels lack a class."""
+#: Rows as arrays: the features by view, and the labels.
+Rows = tuple[dict[str, np.ndarray], np.ndarray]
+
+
+def train(rows: Rows, pool: Callable[[str, View, dict[float, int], set], list], settings: Settings) -> Model | None:
+    """Both views; None where the labels lack a class.
+
+    ``pool(view, fitted, quotas, taken)`` gives the unlabelled rows (key, class, content,
+    meta) that a fitted view is surest of, at most ``quotas[class]`` of each class and
+    none whose key is ``taken``.
+    """
+    x, label = rows
     n = len(label)
     if n < 4 or label.min() == label.max():
         return None
@@ -151,59 +194,60 @@ def co_train(
         held[at[: int(settings.held_out * len(at))]] = True
     if len(set(label[held])) < 2:
         held[:] = False
-    train = ~held
-    views = {"content": (content, pool_content), "meta": (meta, pool_meta)}
-    given: dict[str, dict[int, float]] = {"content": {}, "meta": {}}
+    use = ~held
+    check = held if held.any() else use
+    share = {c: float((label[use] == c).mean()) for c in (0.0, 1.0)}
+    # both classes in the proportion of the labels, so that one cannot flood the other view
+    quotas = {c: max(1, round(settings.handed * share[c])) for c in share}
+    given: dict[str, list] = {"content": [], "meta": []}
     fitted: dict[str, View] = {}
     for step in range(settings.rounds + 1):
-        for name, (x, pool) in views.items():
-            rows = np.array(sorted(given[name]), dtype=int)
-            more = np.array([given[name][i] for i in rows])
-            fitted[name] = fit(np.vstack([x[train], pool[rows]]), np.concatenate([label[train], more]), settings.ridge)
-            calibrate(fitted[name], x[held if held.any() else train], label[held if held.any() else train])
-        if step == settings.rounds or not len(pool_content):
+        for name in VIEWS:
+            more = given[name]
+            at = 2 if name == "content" else 3
+            features = np.vstack([x[name][use], *(np.asarray(r[at], dtype=float)[None, :] for r in more)])
+            fitted[name] = fit(features, np.concatenate([label[use], [r[1] for r in more]]), settings.ridge)
+            calibrate(fitted[name], x[name][check], label[check])
+        if step == settings.rounds:
             break
         for name, other in (("content", "meta"), ("meta", "content")):
-            p = _sigmoid(fitted[name].odds(views[name][1]))
-            sure = np.flatnonzero((p >= settings.sure) | (p <= 1 - settings.sure))
-            sure = sure[np.argsort(-np.abs(p[sure] - 0.5), kind="stable")]
-            fresh = [int(i) for i in sure if int(i) not in given[other]]
-            # both classes in the proportion of the labels, so that one cannot flood the other view
-            most = int(settings.share * len(p))
-            for c in (0.0, 1.0):
-                quota = max(1, round(most * float((label[train] == c).mean())))
-                for i in [i for i in fresh if (p[i] > 0.5) == bool(c)][:quota]:
-                    given[other][i] = c
-    prior = float(np.log((label[train].sum() + 1) / ((1 - label[train]).sum() + 1)))
+            given[other] += pool(name, fitted[name], quotas, {r[0] for r in given[other]})
+    prior = float(np.log((label[use].sum() + 1) / ((1 - label[use]).sum() + 1)))
     return Model(fitted["content"], fitted["meta"], prior, sum(map(len, given.values())))
 
 
-def featurize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    def factory():
-        return lambda i, text, lang, source, n: (i, content_view(text), meta_view(lang, source, n))
+def co_train(
+    content: np.ndarray, meta: np.ndarray, label: np.ndarray, pool_content: np.ndarray, pool_meta: np.ndarray, settings: Settings
+) -> Model | None:
+    """The same with a pool of arrays."""
+    views = {"content": pool_content, "meta": pool_meta}
+    limit = math.log(settings.sure / (1 - settings.sure))
 
-    return map_rows(docs, [id_col, text_col, "lang", "source", "n_chars"], factory, FEATURES)
+    def pool(name: str, view: View, quotas: dict[float, int], taken: set) -> list:
+        odds = view.odds(views[name])
+        free = [i for i in np.argsort(-np.abs(odds), kind="stable").tolist() if abs(odds[i]) >= limit and i not in taken]
+        return [
+            (i, c, pool_content[i], pool_meta[i])
+            for c, quota in quotas.items() for i in [i for i in free if (odds[i] > 0) == bool(c)][:quota]
+        ]
 
+    return train(({"content": content, "meta": meta}, label), pool, settings)
 
-def sample(features: DataFrame, labels: DataFrame, settings: Settings, label_col: str = "quality"):
-    """The bounded sample as arrays: content, meta and labels, then the pool's views."""
-    known = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull())
-        .groupBy("doc_id").agg(F.avg(F.col(label_col).cast("double")).alias("y"))
-        .where("y <> 0.5").select("doc_id", (F.col("y") > 0.5).cast("double").alias("y"))
-    )
-    chosen = hash_sample(known, ["doc_id"], settings.labelled, "labelled")
-    rows = features.join(F.broadcast(chosen), "doc_id").select("doc_id", "content", "meta", "y").collect()
-    rows = sorted(rows, key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["content"]))[: settings.labelled]
-    pool = hash_sample(features.where(F.col("doc_id").isNotNull()).select("doc_id", "content", "meta"), ["doc_id"], settings.pool, "pool").collect()
-    seen = {r["doc_id"] for r in rows}
-    pool = [r for r in pool if r["doc_id"] not in seen]
 
-    def array(rows, name, width):
-        return np.array([r[name] for r in rows], dtype=float).reshape(len(rows), width)
+def featurize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", through: list[str] | None = None) -> DataFrame:
+    """``doc_id, content, meta`` of every row, or the columns ``through`` in the place of ``doc_id``."""
+    names = through or [id_col]
+    docs = docs.select(*names, *(F.col(c).alias(f"_{k}") for k, c in enumerate((text_col, "lang", "source", "n_chars"))))
+    kept = row_schema(docs.select(*names)) if through else "doc_id bigint"
+
+    def factory():
+        def one(*row):
+            text, lang, source, n = row[-4:]
+            return (*row[:-4], content_view(text), meta_view(lang, source, n))
+
+        return one
 
-    c, m = 16, LANGS + SOURCES + 2
-    return array(rows, "content", c), array(rows, "meta", m), np.array([r["y"] for r in rows]), array(pool, "content", c), array(pool, "meta", m)
+    return map_rows(docs, docs.columns, factory, f"{kept}, content array<float>, meta array<float>")
 
 
 def _odds(view: View, col: str) -> Column:
@@ -216,50 +260,114 @@ def _probability(odds: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
+def labelled_rows(features: DataFrame, labels: DataFrame, settings: Settings, label_col: str = "quality") -> tuple[Rows, DataFrame]:
+    """The bounded labelled sample in hash order, and the ids that it took.
+
+    Labels count only where a document has them; a class too rare for its share still
+    gets up to ``settings.rare`` rows.
+    """
+    known = (
+        labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull())
+        .groupBy("doc_id").agg(F.avg(F.col(label_col).cast("double")).alias("y"))
+        .where("y <> 0.5").select("doc_id", (F.col("y") > 0.5).cast("double").alias("y"))
+    )
+    known = materialize(known.join(features.select("doc_id").distinct(), "doc_id", "left_semi"))
+    sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    total = sum(sizes.values())
+    parts = [
+        hash_sample(known.where(F.col("y") == c), ["doc_id"], max(min(n, settings.rare), round(settings.labelled * n / max(total, settings.labelled))), "labelled")
+        for c, n in sorted(sizes.items())
+    ]
+    chosen = parts[0] if parts else known.limit(0)
+    for p in parts[1:]:
+        chosen = chosen.unionByName(p)
+    chosen = materialize(chosen)
+    rows = features.join(F.broadcast(chosen), "doc_id").select("doc_id", "content", "meta", "y").collect()
+    rows = sorted(rows, key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["content"], r["meta"]))
+    x = {v: np.array([r[v] for r in rows], dtype=float).reshape(len(rows), width) for v, width in VIEWS.items()}
+    return (x, np.array([r["y"] for r in rows])), chosen.select("doc_id")
+
+
+def surest(features: DataFrame, labelled: DataFrame, settings: Settings) -> Callable[[str, View, dict[float, int], set], list]:
+    """The pool of all unlabelled rows of ``features``, for ``train``.
+
+    Rows are counted by class and bin of their log odds; the bins that fill the quota
+    are read then, the last of them in part, by hash.
+    """
+    spark = features.sparkSession
+    limit = math.log(settings.sure / (1 - settings.sure))
+    place = F.pmod(F.xxhash64("doc_id", F.lit("handed")), F.lit(1_000_000))
+
+    def pool(name: str, view: View, quotas: dict[float, int], taken: set) -> list:
+        out = labelled.unionByName(spark.createDataFrame([(i,) for i in sorted(taken)], "doc_id bigint"))
+        free = features.where("doc_id is not null").join(F.broadcast(out), "doc_id", "left_anti")
+        odds = free.select("doc_id", "content", "meta", _odds(view, name).alias("odds")).where(F.abs("odds") >= limit)
+        odds = odds.withColumn("y", (F.col("odds") > 0).cast("double")).withColumn("bin", F.floor(F.abs("odds") * BINS))
+        sizes = odds.groupBy("y", "bin").agg(F.count("*").alias("n")).collect()
+        tests = []
+        for c, quota in quotas.items():
+            left = quota
+            for r in sorted((r for r in sizes if r["y"] == c), key=lambda r: -r["bin"]):
+                share = min(1.0, 1.2 * left / r["n"] + 1e-6)
+                tests.append((F.col("y") == c) & (F.col("bin") == r["bin"]) & (place < F.lit(int(share * 1_000_000))))
+                left -= r["n"]
+                if left <= 0:
+                    break
+        if not tests:
+            return []
+        some = tests[0]
+        for t in tests[1:]:
+            some |= t
+        found = odds.where(some).withColumn("place", place).collect()
+        found.sort(key=lambda r: (-r["bin"], r["place"], r["doc_id"], r["content"]))
+        picked, seen = [], set()
+        for c, quota in quotas.items():
+            for r in found:
+                if r["y"] == c and quota > 0 and r["doc_id"] not in seen:
+                    seen.add(r["doc_id"])
+                    picked.append((r["doc_id"], c, r["content"], r["meta"]))
+                    quota -= 1
+        return picked
+
+    return pool
+
+
+def fit_model(features: DataFrame, labels: DataFrame, settings: Settings) -> Model | None:
+    """Co-training over a table of features."""
+    rows, ids = labelled_rows(features, labels, settings)
+    return train(rows, surest(features, ids, settings), settings)
+
+
 def score_quality(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None
 ) -> DataFrame:
     """``doc_id, score_content, score_meta, score, kept`` for every row of ``docs``."""
     settings = settings or Settings()
     features = materialize(featurize(docs, id_col, text_col))
-    model = co_train(*sample(features, labels, settings), settings)
-    return _score(features, model, settings)
+    scored = with_scores(features, fit_model(features, labels, settings), settings)
+    return scored.select("doc_id", "score_content", "score_meta", "score", "kept")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns.
 
-    Training reads the kept table of features; filtering computes the features of a
-    row once more beside its text, which is cheaper than joining texts to scores.
+    Features are kept beside the rows, so nothing is computed twice and no join has to
+    bring rows and scores together.
     """
     settings = settings or Settings()
-    features = materialize(featurize(docs, id_col, text_col))
-    model = co_train(*sample(features, labels, settings), settings)
-    if model is None:
-        return docs
-    names = docs.columns
-    at = [names.index(c) for c in (text_col, "lang", "source", "n_chars")]
-    limit = math.log(settings.keep_at / (1 - settings.keep_at))
+    features = materialize(featurize(docs, id_col, text_col, docs.columns))
+    slim = features.select(F.col(id_col).alias("doc_id"), "content", "meta")
+    scored = with_scores(features, fit_model(slim, labels, settings), settings)
+    return scored.where("kept").select(*docs.columns)
 
-    def factory():
-        def one(*row):
-            text, lang, source, n = (row[i] for i in at)
-            odds = model.odds(np.array([content_view(text)]), np.array([meta_view(lang, source, n)]))[0]
-            return (row,) if odds >= limit else ()
-
-        return one
 
-    return map_rows(docs, names, factory, row_schema(docs), many=True)
-
-
-def _score(features: DataFrame, model: Model | None, settings: Settings) -> DataFrame:
+def with_scores(features: DataFrame, model: Model | None, settings: Settings) -> DataFrame:
+    """``features`` with scores and verdict."""
     if model is None:
         half = F.lit(0.5)
-        return features.select("doc_id", half.alias("score_content"), half.alias("score_meta"), half.alias("score"), F.lit(True).alias("kept"))
-    a, b = _odds(model.content, "content"), _odds(model.meta, "meta")
-    scored = features.select("doc_id", a.alias("a"), b.alias("b"))
-    score = _probability(F.col("a") + F.col("b") - F.lit(model.prior))
-    return scored.select(
-        "doc_id", _probability(F.col("a")).alias("score_content"), _probability(F.col("b")).alias("score_meta"),
-        score.alias("score"), (score >= F.lit(settings.keep_at)).alias("kept"),
-    )
+        return features.withColumns({"score_content": half, "score_meta": half, "score": half, "kept": F.lit(True)})
+    scored = features.withColumns({"_a": _odds(model.content, "content"), "_b": _odds(model.meta, "meta")})
+    score = _probability(F.col("_a") + F.col("_b") - F.lit(model.prior))
+    return scored.withColumns({"score_content": _probability(F.col("_a")), "score_meta": _probability(F.col("_b")), "score": score}).withColumn(
+        "kept", F.col("score") >= F.lit(settings.keep_at)
+    )
