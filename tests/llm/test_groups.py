@@ -132,7 +132,12 @@ def test_pipeline_against_operators(spark, small):
 
     docs = spark.read.parquet(f"{small}/documents.parquet")
     known = spark.read.parquet(f"{small}/labels.parquet")
-    a = docs.join(quality_rules.quality_rules(docs).where("kept"), "doc_id", "left_semi")
+    judged = quality_rules.quality_rules(docs).where("kept").select("doc_id", "clean_text", "n_lines_removed")
+    cut = F.col("n_lines_removed") > 0
+    a = docs.join(judged, "doc_id").select(
+        "doc_id", F.when(cut, F.col("clean_text")).otherwise(F.col("text")).alias("text"), "lang", "source",
+        F.when(cut, F.length("clean_text")).otherwise(F.col("n_chars")).cast("bigint").alias("n_chars"),
+    )
     b = a.join(cotraining.score_quality(a, known).where("kept"), "doc_id", "left_semi")
     alone = {i for i, c in brute_texts({r["doc_id"]: r["text"] for r in b.collect()}).items() if i == c}
     c = b.where(F.col("doc_id").isin(*alone))
