@@ -1,4 +1,10 @@
-"""A training-data pipeline over ``documents``: five stages, each written and read again."""
+"""A training-data pipeline over ``documents``: five stages, each written and read again.
+
+In every stage a null text counts as empty, a null id is no reason to lose a row, ties
+and repeated rows are decided row by row as each docstring says, texts are read whole
+whatever their length, further columns of the input are ignored, and an empty table
+gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -12,12 +18,22 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the line rules, with their failing lines left in place."""
+    """Documents that pass the line rules, without their failing lines.
+
+    Null and empty texts are rejected; of equal lines of a text the first stays; a text
+    that loses no line stays as it is, and ``n_chars`` is counted anew only where one
+    went. Repeated rows are judged one by one and all stay or go.
+    """
     return quality_rules.keep_documents(docs.select(*COLUMNS))
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifier keeps."""
+    """Documents that the co-trained classifier keeps.
+
+    Null texts, languages, sources and lengths are features of their own; rows without
+    an id are judged but not trained on; repeated rows are judged one by one. If the
+    labels lack a class, all documents stay.
+    """
     return cotraining.keep_quality(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -40,12 +56,19 @@ def minhash_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def secret_scan_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced by a mask and lengths counted anew where one was."""
+    """All documents, with secrets replaced by a mask and lengths counted anew where one was.
+
+    Null texts stay null; repeated rows are masked one by one, whatever their ids.
+    """
     return secrets.mask_documents(docs.select(*COLUMNS))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of sequences of 1024 tokens."""
+    """Pieces of sequences of 1024 tokens.
+
+    A null or empty text is one end token; repeated rows are packed one by one, null
+    ids pass through; pieces of equal length are placed in the order of their tasks.
+    """
     return packing.pack_documents(docs)
 
 
@@ -68,5 +91,3 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
-
-
