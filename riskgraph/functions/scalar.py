@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 
 def strip_accents():
-    """An Arrow UDF: lower, trim, canonical decomposition without combining marks; null gives ''."""
+    """An Arrow UDF: lower, trim, canonical decomposition without non-spacing marks; null gives ''."""
 
     @F.pandas_udf("string")
     def normal(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -19,7 +19,10 @@ def strip_accents():
         def one(s):
             if s is None or s != s:
                 return ""
-            return "".join(c for c in unicodedata.normalize("NFD", s.lower().strip()) if not unicodedata.combining(c))
+            s = s.lower().strip()
+            if s.isascii():
+                return s
+            return "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
 
         for b in batches:
             yield b.map(one, na_action=None)
@@ -27,15 +30,15 @@ def strip_accents():
     return normal
 
 
-#: Latin letters with marks and what they decompose to (fixed values).
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def normalized(c: Column | str) -> Column:
+    """Lower case, without surrounding white space and without accents, of any alphabet."""
+    return strip_accents()(F.col(c) if isinstance(c, str) else c)
 
 
-def normalized(c: Column | str) -> Column:
-    """The same for Latin-1 letters, on the JVM."""
+def normalized_identifier(c: Column | str) -> Column:
+    """Lower case without surrounding white space; null gives ''."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.translate(F.trim(F.lower(F.coalesce(c, F.lit("")))), MARKED, PLAIN)
+    return F.coalesce(F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")), F.lit(""))
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
@@ -114,3 +117,9 @@ def classification_metrics(tp: Column, fp: Column, fn: Column, tn: Column) -> li
             ("specificity", ratio(tn, tn + fp)), ("mcc", ratio((tp * tn - fp * fn).cast("double"), d)),
         )
     ]
+
+
+def uniform(seed: int, name: str, *keys: str) -> Column:
+    """A number in [0, 1) that depends on a seed, a name and columns only: the first 52 bits of a digest."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(name), *(F.col(k).cast("string") for k in keys)).cast("binary"))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("bigint") / float(1 << 52)

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.config import CommunityConfig
 from riskgraph.functions.cluster import materialize, ship_package
+from riskgraph.functions.order import with_position
 from riskgraph.operators.links import symmetric
 from riskgraph.operators.topology import components
 
 
-#: Rounds after which moves of a giant component that don't settle raise an error.
-PARALLEL_ROUNDS = 1000
+#: Digits to which weights are added up, so that no order of adding decides a tie.
+DIGITS = 9
 
 
 def local_moves(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -32,42 +35,60 @@ def local_moves(pdf: pd.DataFrame) -> pd.DataFrame:
     while moved:
         moved = False
         for v in order:
-            weight: dict[int, float] = {}
+            parts: dict[int, list[float]] = {}
             for u, w in near[v]:
-                weight[label[u]] = weight.get(label[u], 0.0) + w
+                parts.setdefault(label[u], []).append(w)
+            weight = {c: round(math.fsum(ws), DIGITS) for c, ws in parts.items()}
             best = min(weight, key=lambda c: (-weight[c], c))
             if weight[best] > weight.get(label[v], 0.0):
                 label[v], moved = best, True
     return pd.DataFrame({"id": list(label), "label": list(label.values())})
 
 
-def _parallel_moves(edges: DataFrame, rounds: int = PARALLEL_ROUNDS) -> DataFrame:
-    """The same moves for a component of any size: vertices of alternating hash parity move together."""
+def wave_moves(edges: DataFrame) -> DataFrame:
+    """The very same moves over a component of any size, many vertices at a time.
+
+    In a pass in order of id a vertex sees the new labels of its smaller neighbours and
+    the old ones of its larger ones, so it may move as soon as its smaller neighbours
+    have had their turn. Each round moves all such vertices at once; a pass takes as many
+    rounds as its longest path of growing ids, whose number ``depth`` counts beforehand.
+    """
     both = materialize(symmetric(edges, "weight"))
-    label = materialize(both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
-    settled = False  # both halves have to stay in place, one after the other
-    for r in range(rounds):
-        at = both.join(label.select(F.col("id").alias("dst"), F.col("label").alias("c")), "dst")
-        weight = at.groupBy(F.col("src").alias("id"), "c").agg(F.sum("weight").alias("w"))
-        best = weight.groupBy("id").agg(F.max(F.struct("w", (-F.col("c")).alias("m"))).alias("b"))
-        own = label.join(weight.select("id", F.col("c").alias("label"), F.col("w").alias("own")), ["id", "label"], "left")
-        turn = F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2
-        better = turn & (F.col("b.w") > F.coalesce("own", F.lit(0.0)))
-        new = own.join(best, "id").select("id", F.when(better, -F.col("b.m")).otherwise(F.col("label")).alias("label"), better.alias("moved"))
+    smaller = both.where("dst < src").select("src", "dst").distinct()
+    turn = materialize(both.select(F.col("src").alias("id")).distinct().withColumn("turn", F.lit(0)))
+    grown = True
+    while grown:  # a vertex's turn comes after those of its smaller neighbours
+        late = smaller.join(turn.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg((F.max("turn") + 1).alias("late"))
+        new = turn.join(late, "id", "left").select("id", F.greatest("turn", F.coalesce("late", F.lit(0))).alias("turn"), (F.coalesce("late", F.lit(0)) > F.col("turn")).alias("grew"))
         new = materialize(new)
-        label = new.select("id", "label")
-        still = not new.where("moved").limit(1).count()
-        if still and settled:
-            return label
-        settled = still
-    raise RuntimeError(f"communities still move after {rounds} rounds")
+        grown = new.where("grew").limit(1).count() > 0
+        turn = materialize(new.select("id", "turn"), instead=turn)
+    depth = turn.agg(F.max("turn")).first()[0] or 0
+    by_turn = materialize(both.join(turn.withColumnRenamed("id", "src"), "src"))
+    label = materialize(turn.select("id", F.col("id").alias("label")))
+    moved = True
+    while moved:
+        moved = False
+        for k in range(depth + 1):
+            mine = by_turn.where(F.col("turn") == k)
+            at = mine.join(label.select(F.col("id").alias("dst"), F.col("label").alias("c")), "dst")
+            weight = at.groupBy(F.col("src").alias("id"), "c").agg(F.round(F.sum("weight"), DIGITS).alias("w"))
+            best = weight.groupBy("id").agg(F.min(F.struct((-F.col("w")).alias("w"), "c")).alias("b"))
+            held = weight.select("id", F.col("c").alias("label"), F.col("w").alias("held"))
+            some = best.join(label, "id").join(held, ["id", "label"], "left").where(-F.col("b.w") > F.coalesce("held", F.lit(0.0)))
+            some = materialize(some.select("id", F.col("b.c").alias("to")))
+            if some.limit(1).count():
+                moved = True
+                new = label.join(some, "id", "left").select("id", F.coalesce("to", "label").alias("label"))
+                label = materialize(new, instead=label)
+    return label
 
 
 def detect(edges: DataFrame, largest_local: int = 200_000) -> DataFrame:
     """``id, id_communaute`` by greedy weighted moves from singletons, numbered densely.
 
-    Components up to ``largest_local`` edges are solved one per group; larger ones go
-    through parallel rounds, so no task holds a giant component.
+    Components up to ``largest_local`` edges are solved one per group; larger ones move
+    by waves, so no task holds a giant component. Both make the same moves.
     """
     ship_package(edges.sparkSession)
     e = edges.select("src", "dst", "weight").where("src <> dst")
@@ -79,10 +100,10 @@ def detect(edges: DataFrame, largest_local: int = 200_000) -> DataFrame:
         lambda pdf: local_moves(pdf), "id bigint, label bigint"
     )
     if giant.limit(1).count():
-        small = small.unionByName(_parallel_moves(e.join(giant, "component", "left_semi").select("src", "dst", "weight")))
+        small = small.unionByName(wave_moves(e.join(giant, "component", "left_semi").select("src", "dst", "weight")))
     small = materialize(small)
-    number = small.groupBy("label").agg(F.count("*").alias("n")).select("label", (F.dense_rank().over(Window.orderBy("label")) - 1).alias("id_communaute"))
-    return small.join(number, "label").select("id", F.col("id_communaute").cast("bigint").alias("id_communaute"))
+    number = with_position(small.select("label").distinct(), ["label"], "id_communaute")
+    return small.join(number, "label").select("id", "id_communaute")
 
 
 def cohesion(edges: DataFrame, members: DataFrame) -> DataFrame:

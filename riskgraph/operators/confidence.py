@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgraph.config import ConfidenceConfig
-from riskgraph.functions.scalar import clamp, diversity, frequency, recency, whole_days
+from riskgraph.functions.scalar import clamp, diversity, frequency, recency, uniform, whole_days
 from riskgraph.operators.links import symmetric
 
 
@@ -61,7 +61,7 @@ def null_model(spark: SparkSession, observed: float, seed: int = 0, cfg: Confide
     cfg = cfg or ConfidenceConfig()
 
     def u(name: str):
-        return F.pmod(F.xxhash64(F.lit(seed), F.lit(name), "id"), F.lit(1 << 52)) / float(1 << 52)
+        return uniform(seed, name, "id")
 
     draw = (
         cfg.frequency * frequency(F.floor(u("n") * 100) + 1) + cfg.recency * recency(F.floor(u("days") * 365), cfg.decay_per_day)

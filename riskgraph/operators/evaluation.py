@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.config import FeedbackConfig
+from riskgraph.functions.order import with_position
 from riskgraph.functions.scalar import clamp, classification_metrics
 from riskgraph.operators.links import symmetric
 
@@ -22,16 +23,15 @@ def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 
 def held_out(rows: DataFrame, key: str, cfg: FeedbackConfig | None = None, seed: int = 0) -> DataFrame:
-    """The part after the training share, in an order shuffled by hash; the cut is exact, by two counts."""
+    """The part after the training share, in an order shuffled by digest; the cut is exact."""
     cfg = cfg or FeedbackConfig()
-    n = rows.count()
-    cut = int(n * cfg.train_share)
-    order = Window.orderBy("_h", key)
-    return rows.withColumn("_h", F.xxhash64(key, F.lit(seed))).withColumn("_r", F.row_number().over(order)).where(F.col("_r") > cut).drop("_h", "_r")
+    shuffled = rows.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")))
+    placed = with_position(shuffled, ["_h", key], "_r")
+    return placed.where(F.col("_r") >= int(rows.count() * cfg.train_share)).drop("_h", "_r")
 
 
 def bias(rows: DataFrame, segment: str, detected: str, cfg: FeedbackConfig | None = None) -> DataFrame:
-    """Detection rate by segment with the largest over the smallest rate and the verdict on every row."""
+    """Detection rate by segment, highest first, with the verdict on the largest over the smallest rate on every row."""
     cfg = cfg or FeedbackConfig()
     rates = rows.groupBy(F.col(segment).alias("segment")).agg(F.count("*").alias("total"), F.count_if(detected).alias("detected"))
     rates = rates.withColumn("taux_detection", F.round(F.col("detected") / F.col("total"), 6))
@@ -39,7 +39,7 @@ def bias(rows: DataFrame, segment: str, detected: str, cfg: FeedbackConfig | Non
     ratio = F.when(F.col("n") < 2, 1.0).when(F.col("lo") > 0, F.col("hi") / F.col("lo")).otherwise(F.lit(float("inf")))
     return rates.crossJoin(F.broadcast(limits)).select(
         "segment", "total", "detected", "taux_detection", (F.coalesce(ratio > cfg.max_disparity, F.lit(False)) & (F.col("n") >= 2)).alias("biais")
-    )
+    ).orderBy(F.desc("taux_detection"), "segment")  # a row per segment
 
 
 def retrain_trigger(rows: DataFrame, label: str, used: str | None = None, cfg: FeedbackConfig | None = None) -> DataFrame:
@@ -76,6 +76,14 @@ def feedback_community(vertices: DataFrame, members: DataFrame, cohesions: DataF
     return vertices.join(touched.select("id", "delta"), "id").select("id", F.round(clamp(F.coalesce("risk", F.lit(0.1)) + F.col("delta")), 6).alias("score_risque"))
 
 
+def class_tally(rows: DataFrame, column: str, *values: str) -> DataFrame:
+    """``classe, n`` for each of ``values``, with 0 for those that don't occur, and for whatever else does."""
+    spark = rows.sparkSession
+    wanted = spark.createDataFrame([(v, 0) for v in values], "classe string, n bigint")
+    seen = rows.select(F.col(column).cast("string").alias("classe"), F.lit(1).cast("bigint").alias("n"))
+    return wanted.unionByName(seen).groupBy("classe").agg(F.sum("n").alias("n"))
+
+
 def record_labels(vertices: DataFrame, labels: DataFrame) -> DataFrame:
     """``vertices`` with ``label_verite`` set where ``labels`` has the id; others keep theirs, a label outside the domain raises an error."""
     ok = F.when(F.col("label").isin(*LABELS), F.col("label")).otherwise(F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce("label", F.lit("null")))))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskgraph.config import IngestConfig
 from riskgraph.functions.cluster import materialize, ship_package
+from riskgraph.functions.order import with_position
 from riskgraph.functions.scalar import whole_days
 
 
@@ -69,60 +70,86 @@ def apply_rules(events: DataFrame, chain: list[Rule]) -> DataFrame:
 def mark_duplicates(events: DataFrame, keys: list[str], seconds: int, order: str = "seq") -> DataFrame:
     """``is_duplicate``: less than ``seconds`` after the last kept event of the same key.
 
-    Events further apart than the window start anew in any case, so only runs of
-    close events are folded, each on its own; a hot key falls apart into many runs.
+    Time is cut into buckets as wide as the window, of which each holds one kept event
+    at most. An event's successor, the first one a window later, lies in the next
+    bucket or opens the next bucket in use, so it is found within single buckets. Kept
+    is what successors reach from an event that nothing precedes by less than a window.
+    That closure takes jumps of doubling length, so a busy key costs rounds as the
+    logarithm of its busiest stretch, and no task ever holds more than one bucket of a
+    key. Events without a time are no duplicates; null keys count as equal.
     """
-    w = Window.partitionBy(*keys).orderBy("horodatage", order)
-    t = F.unix_micros("horodatage")
-    start = F.coalesce(t - F.lag(t).over(w) >= seconds * 1_000_000, F.lit(True))
-    run = events.withColumn("_s", start.cast("int")).withColumn("_run", F.sum("_s").over(w)).withColumn("_t", t)
-    one = F.array_sort(F.collect_list(F.struct("_t", F.col(order).alias("_o"))))
-    fold = F.aggregate(
-        one,
-        F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("kept")),
-        lambda s, x: F.when(
-            s["last"].isNull() | (x["_t"] - s["last"] >= seconds * 1_000_000),
-            F.struct(x["_t"].alias("last"), F.concat(s["kept"], F.array(x["_o"].cast("bigint"))).alias("kept")),
-        ).otherwise(s),
+    width = seconds * 1_000_000
+    key = F.struct(*keys).alias("k")
+    t = F.unix_micros("horodatage").alias("t")
+    nodes = events.where(F.col("horodatage").isNotNull()).groupBy(key, t).agg(F.min(order).alias("first"))
+    nodes = materialize(nodes.withColumn("b", F.expr(f"t div {width}")))
+    w = Window.partitionBy("k").orderBy("b")
+    ends = nodes.groupBy("k", "b").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    ends = ends.select(
+        "k", "b", "lo", F.lag("hi").over(w).alias("before"), F.lead("b").over(w).alias("b1"), F.lead("lo").over(w).alias("lo1"), F.lead("lo", 2).over(w).alias("lo2")
     )
-    kept = run.groupBy(*keys, "_run").agg(fold["kept"].alias("_kept")).select(F.explode("_kept").alias(order), F.lit(True).alias("_keep"))
-    return events.join(kept, order, "left").withColumn("is_duplicate", F.col("_keep").isNull()).drop("_keep")
+    ends = materialize(ends)
+    starts = ends.where(F.col("before").isNull() | (F.col("lo") - F.col("before") >= width)).select("k", F.col("lo").alias("t"))
+    # an event asks the next bucket for the first time a window later; at equal times the question comes first
+    asked = nodes.select("k", (F.col("b") + 1).alias("b"), (F.col("t") + width).alias("at"), F.lit(0).alias("kind"), F.col("t").alias("asker"), F.lit(None).cast("bigint").alias("point"))
+    there = nodes.select("k", "b", F.col("t").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("bigint").alias("asker"), F.col("t").alias("point"))
+    following = Window.partitionBy("k", "b").orderBy("at", "kind").rowsBetween(0, Window.unboundedFollowing)
+    answers = asked.unionByName(there).withColumn("found", F.min("point").over(following)).where("kind = 0")
+    answers = answers.select("k", (F.col("b") - 1).alias("b"), F.col("asker").alias("t"), "found")
+    after = F.when(F.col("b1") > F.col("b") + 1, F.col("lo1")).otherwise(F.coalesce("found", "lo2"))
+    jumps = answers.join(ends, ["k", "b"]).select("k", "t", after.alias("to")).where(F.col("to").isNotNull())
+    jumps = materialize(jumps.join(starts.withColumnRenamed("t", "to"), ["k", "to"], "left_anti"))
+    kept = materialize(starts)
+    while jumps.limit(1).count():
+        reached = kept.join(jumps, ["k", "t"]).select("k", F.col("to").alias("t"))
+        kept = materialize(kept.unionByName(reached).distinct(), instead=kept)
+        far = jumps.select("k", F.col("to").alias("t"), F.col("t").alias("from")).join(jumps, ["k", "t"])
+        jumps = materialize(far.select("k", F.col("from").alias("t"), "to"), instead=jumps)
+    first = nodes.join(kept, ["k", "t"], "left_semi").select(F.col("first").alias(order), F.lit(True).alias("_keep"))
+    marked = events.join(first, order, "left")
+    return marked.withColumn("is_duplicate", F.col("_keep").isNull() & F.col("horodatage").isNotNull()).drop("_keep")
+
+
+def _bucketed(events: DataFrame, key: str, width: int) -> DataFrame:
+    """Each event in its time bucket ``_b``, and once more (``_own`` false) in the next, whose first windows reach back to it."""
+    b = F.expr(f"unix_micros(horodatage) div {width}")
+    both = events.withColumn("_at", b).withColumn("_b", F.explode(F.array_distinct(F.array("_at", F.col("_at") + 1))))
+    return both.withColumn("_own", F.col("_b").eqNullSafe(F.col("_at")))
 
 
 def trailing_volume(events: DataFrame, key: str, minutes: int) -> DataFrame:
-    """``volume``: events of the key in the trailing window, itself included."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros("horodatage")).rangeBetween(-minutes * 60_000_000 + 1, 0)
-    return events.withColumn("volume", F.count("*").over(w))
+    """``volume``: events of the key in the trailing window, itself included. A busy key is cut up by time."""
+    width = minutes * 60_000_000
+    w = Window.partitionBy(key, "_b").orderBy(F.unix_micros("horodatage")).rangeBetween(-width + 1, 0)
+    counted = _bucketed(events, key, width).withColumn("volume", F.count("*").over(w))
+    return counted.where("_own").select(*events.columns, "volume")
 
 
 def mark_spikes(events: DataFrame, key: str, cfg: IngestConfig, literal: bool = False) -> DataFrame:
     """``is_spike``: volume over ``spike_factor`` times the key's mean volume so far.
 
-    The literal rule compares a volume with ten times itself spread over the
-    window, which can never hold; it is kept as ``literal=True``.
+    The mean adds up what earlier time buckets and the rows before in the same bucket
+    hold, so no window spans a whole key but over its buckets. The literal rule compares
+    a volume with ten times itself spread over the window, which can never hold; it is
+    kept as ``literal=True``.
     """
     v = trailing_volume(events, key, cfg.spike_minutes)
     if literal:
         usual = F.greatest(F.lit(1.0), F.col("volume") / float(max(1, cfg.spike_minutes)))
-    else:
-        w = Window.partitionBy(key).orderBy("horodatage", "seq").rowsBetween(Window.unboundedPreceding, -1)
-        usual = F.greatest(F.lit(1.0), F.coalesce(F.avg("volume").over(w), F.lit(1.0)))
-    return v.withColumn("is_spike", F.col("volume") > cfg.spike_factor * usual)
-
-
-def with_position(df: DataFrame, order: list[str], name: str = "position") -> DataFrame:
-    """Rows numbered from 0 in a global order, without bringing them into one task.
-
-    Ranges of the order are sorted separately and numbered by adding up the sizes
-    of the ranges before, of which there are as many as partitions.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
-    ranged = materialize(ranged.withColumn("_p", F.shiftright("_id", 33)).withColumn("_k", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))))
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return ranged.join(F.broadcast(offsets), "_p").withColumn(name, F.col("_before") + F.col("_k")).drop("_id", "_p", "_k", "_n", "_before")
+        return v.withColumn("is_spike", F.col("volume") > cfg.spike_factor * usual)
+    v = v.withColumn("_b", F.expr(f"unix_micros(horodatage) div {cfg.spike_minutes * 60_000_000}"))
+    earlier = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    sums = v.groupBy(key, "_b").agg(F.sum("volume").alias("_s"), F.count("*").alias("_n"))
+    sums = sums.select(
+        F.col(key).alias("_key"), F.col("_b").alias("_bucket"),
+        F.coalesce(F.sum("_s").over(earlier), F.lit(0)).alias("_s"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n"),
+    )
+    inside = Window.partitionBy(key, "_b").orderBy("horodatage", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    v = v.withColumn("_is", F.coalesce(F.sum("volume").over(inside), F.lit(0))).withColumn("_in", F.count("*").over(inside))
+    v = v.join(sums, F.col(key).eqNullSafe(F.col("_key")) & F.col("_b").eqNullSafe(F.col("_bucket")))
+    mean = F.try_divide((F.col("_s") + F.col("_is")).cast("double"), F.col("_n") + F.col("_in"))
+    usual = F.greatest(F.lit(1.0), F.coalesce(mean, F.lit(1.0)))
+    return v.withColumn("is_spike", F.col("volume") > cfg.spike_factor * usual).select(*events.columns, "volume", "is_spike")
 
 
 def mark_outliers(events: DataFrame, cfg: IngestConfig, chunk: int = 20000) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -68,18 +70,24 @@ def synthetic_identities(
 ) -> DataFrame:
     """Entities that share any attribute with enough recent others.
 
-    The disjunction is turned into equi-joins: attributes are unpivoted to
-    (name, value) keys, and a pair that meets under several keys counts once.
+    Others are counted without pairing them: by inclusion and exclusion over the sets
+    of attributes, each of which takes one grouping, so a value that many share costs
+    no more than its rows.
     """
     cfg = cfg or ResolutionConfig()
-    stacked = ", ".join(f"'{a}', cast({a} as string)" for a in attributes)
-    keys = entities.selectExpr(f"{key} as id", f"stack({len(attributes)}, {stacked}) as (attr, value)").where("value is not null")
-    recent = entities
+    recent = F.lit(True)
     if created and as_of:
-        recent = entities.where(F.col(created) >= F.to_timestamp(F.lit(as_of)) - F.make_dt_interval(F.lit(cfg.synthetic_days)))
-    others = recent.selectExpr(f"{key} as other", f"stack({len(attributes)}, {stacked}) as (attr, value)").where("value is not null")
-    pairs = keys.join(others, ["attr", "value"]).where("id <> other").select("id", "other").distinct()
-    return pairs.groupBy("id").agg(F.count("*").alias("n_recent")).where(F.col("n_recent") >= cfg.synthetic_min)
+        recent = F.coalesce(F.col(created) >= F.to_timestamp(F.lit(as_of)) - F.make_dt_interval(F.lit(cfg.synthetic_days)), F.lit(False))
+    e = entities.select(F.col(key).alias("id"), *(F.col(a).alias(f"_{i}") for i, a in enumerate(attributes)), recent.cast("int").alias("_recent"))
+    parts = None
+    for size in range(1, len(attributes) + 1):
+        for some in combinations(range(len(attributes)), size):
+            by = [f"_{i}" for i in some]
+            there = e.dropna(subset=by)
+            met = there.groupBy(*by).agg(F.sum("_recent").alias("_n")).where("_n > 0")
+            others = there.join(met, by).select("id", ((F.col("_n") - F.col("_recent")) * (-1) ** (size - 1)).alias("n"))
+            parts = others if parts is None else parts.unionByName(others)
+    return parts.groupBy("id").agg(F.sum("n").alias("n_recent")).where(F.col("n_recent") >= cfg.synthetic_min)
 
 
 def symmetric(edges: DataFrame, *extra: str) -> DataFrame:

@@ -8,17 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgraph.config import CommunityConfig, GraphConfig, IngestConfig, ResolutionConfig
-from riskgraph.functions.scalar import edit_similarity, exact_similarity, normalized, prefix_similarity
+from riskgraph.functions.cluster import materialize, scratch_path
+from riskgraph.functions.scalar import edit_similarity, exact_similarity, normalized, normalized_identifier, prefix_similarity
 from riskgraph.operators import communities as com
 from riskgraph.operators import confidence, evaluation, ingest, links, resolution, scoring, topology
 from riskgraph.plans import oracle, phases
 from riskgraph.sources import generator, tables
+from riskgraph.streaming import checks
 
 REJECT_AS_OF = "2024-07-10 00:00:00"
 FLAG_AS_OF = "2024-02-15 00:00:00"
 LINK_AS_OF = "2000-01-01 00:00:00"
-#: The SQL of the graph queries takes purchases above these values; what has no SQL takes all of them.
-EDGE_ABOVE, PATH_ABOVE = 100.0, 150.0
 GENERATED_AS_OF = "2024-07-01 00:00:00"
 RANK_ROUNDS = 10
 INACTIVE_DAYS = 30
@@ -27,7 +27,7 @@ MERGE = ResolutionConfig(merge_at=0.951)
 
 
 def _edges(spark: SparkSession, d: str) -> DataFrame:
-    return tables.purchase_edges(spark, d, EDGE_ABOVE)
+    return tables.purchase_edges(spark, d)
 
 
 def _flags(df: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def reject_counts(spark, d):
 def reject_sink(spark, d):
     v = ingest.validate(tables.risk_events(spark, d), REJECT_AS_OF)
     r = tables.reject_records(v.where("motif is not null"), REJECT_AS_OF)
-    return r.select("identifiant_source", "type_evenement", "motif_rejet", (F.length("donnees_brutes") <= 500).alias("bounded"))
+    return r.select("identifiant_source", "type_evenement", "motif_rejet", "donnees_brutes")
 
 
 def dedup_events(spark, d):
@@ -92,7 +92,7 @@ def synthetic_identity(spark, d):
 
 
 def two_hop_paths(spark, d):
-    return topology.paths(tables.purchase_edges(spark, d, PATH_ABOVE)).groupBy("src", "dst").agg(F.count("*").alias("n_paths"))
+    return topology.paths(_edges(spark, d)).groupBy("src", "dst").agg(F.count("*").alias("n_paths"))
 
 
 def degree_hubs(spark, d):
@@ -105,7 +105,7 @@ def _vertices(e: DataFrame) -> DataFrame:
 
 
 def _rank(spark, d):
-    return topology.pagerank(tables.purchase_edges(spark, d, PATH_ABOVE), rounds=RANK_ROUNDS)
+    return topology.pagerank(_edges(spark, d), rounds=RANK_ROUNDS)
 
 
 def pagerank_k(spark, d):
@@ -121,7 +121,7 @@ def cliques(spark, d):
 
 
 def closeness_bounded(spark, d):
-    return topology.closeness(tables.purchase_edges(spark, d, PATH_ABOVE))
+    return topology.closeness(_edges(spark, d))
 
 
 def neighbor_jaccard(spark, d):
@@ -138,7 +138,7 @@ def link_confidence(spark, d):
 
 
 def components(spark, d):
-    return topology.components(tables.purchase_edges(spark, d, PATH_ABOVE))
+    return topology.components(_edges(spark, d))
 
 
 def communities(spark, d):
@@ -147,12 +147,21 @@ def communities(spark, d):
     return com.detect(scored.withColumnRenamed("score_confiance", "weight"))
 
 
-def _groups(spark, d, above: float) -> DataFrame:
-    return topology.components(tables.purchase_edges(spark, d, above)).select("id", F.col("component").alias("id_communaute"))
+def _groups(spark, d) -> DataFrame:
+    """Communities of the buyers' graph: its vertices by the nation of the customer of that number."""
+    c = tables.read(spark, d, "customer").select(F.col("c_custkey").cast("bigint").alias("id"), F.col("c_nationkey").cast("bigint").alias("id_communaute"))
+    return _vertices(_edges(spark, d)).join(c, "id")
+
+
+def _groups_before(spark, d) -> DataFrame:
+    """An earlier snapshot of them: one market segment wasn't there yet, debtors belonged to the next nation."""
+    c = tables.read(spark, d, "customer").where("c_mktsegment <> 'BUILDING'")
+    nation = F.col("c_nationkey").cast("bigint")
+    return c.select(F.col("c_custkey").cast("bigint").alias("id"), F.when(F.col("c_acctbal") >= 0, nation).otherwise((nation + 1) % 25).alias("id_communaute"))
 
 
 def cohesion(spark, d):
-    c = com.cohesion(tables.purchase_edges(spark, d, PATH_ABOVE), _groups(spark, d, PATH_ABOVE))
+    c = com.cohesion(_edges(spark, d), _groups(spark, d))
     return c.withColumn("classe", com.cohesion_class(F.col("cohesion")))
 
 
@@ -161,27 +170,21 @@ def _created(spark, d):
 
 
 def core_members(spark, d):
-    e = tables.purchase_edges(spark, d, PATH_ABOVE)
-    return com.core_members(e, _groups(spark, d, PATH_ABOVE), _created(spark, d), FLAG_AS_OF, CommunityConfig(core_density=0.05))
+    e = _edges(spark, d)
+    return com.core_members(e, _groups(spark, d), _created(spark, d), FLAG_AS_OF, CommunityConfig(core_density=0.2))
 
 
 def community_evolution(spark, d):
-    return com.evolution(_groups(spark, d, PATH_ABOVE), _groups(spark, d, 175.0))
+    return com.evolution(_groups(spark, d), _groups_before(spark, d))
 
 
 def modularity(spark, d):
-    return com.modularity(tables.purchase_edges(spark, d, PATH_ABOVE), _groups(spark, d, PATH_ABOVE))
+    return com.modularity(_edges(spark, d), _groups(spark, d))
 
 
 def community_summary(spark, d):
-    e, now = tables.purchase_edges(spark, d, PATH_ABOVE), _groups(spark, d, PATH_ABOVE)
-    return com.summary(e, now, _created(spark, d), _groups(spark, d, 175.0), FLAG_AS_OF)
-
-
-def _names(spark, d) -> DataFrame:
-    """Product lines as entities, as the SQL has them: of parts equal in name and brand only the first."""
-    parts = tables.read(spark, d, "part").groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("identifiant"))
-    return parts.select("identifiant", F.col("p_name").alias("nom"), F.col("p_brand").alias("adresse"))
+    e, now = _edges(spark, d), _groups(spark, d)
+    return com.summary(e, now, _created(spark, d), _groups_before(spark, d), FLAG_AS_OF)
 
 
 def _parts(spark, d) -> DataFrame:
@@ -191,8 +194,8 @@ def _parts(spark, d) -> DataFrame:
 
 
 def name_similarity(spark, d):
-    said = F.translate(F.coalesce("text", F.lit("")), "ßœ", "so")
-    n = tables.read(spark, d, "conversations").select("conv_id", "turn", normalized(said).alias("x"), normalized("role").alias("s"))
+    n = tables.read(spark, d, "conversations").select("conv_id", "turn", normalized("text").alias("x"), normalized("role").alias("s"))
+    n = materialize(n)
     m = n.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("x").alias("y"), F.col("s").alias("t"))
     return n.join(m, ["conv_id", "turn"]).select(
         "conv_id", "turn", F.round(edit_similarity(F.col("x"), F.col("y")), 6).alias("nom"),
@@ -201,12 +204,12 @@ def name_similarity(spark, d):
 
 
 def block_candidates(spark, d):
-    n = _names(spark, d).select("identifiant", normalized("nom").alias("nom"))
-    return resolution.block_pairs(n, "identifiant")
+    n = _parts(spark, d).select("identifiant", normalized("nom").alias("nom"))
+    return resolution.block_pairs(materialize(n), "identifiant")
 
 
 def composite_similarity(spark, d):
-    return resolution.matches(_names(spark, d), "identifiant", MERGE)
+    return resolution.matches(_parts(spark, d), "identifiant", MERGE)
 
 
 def resolve_entities(spark, d):
@@ -221,24 +224,24 @@ def merge_entities(spark, d):
 
 
 def _features(spark, d):
-    e = _edges(spark, d)
-    conf = _confidence(spark, d)
-    seen = confidence.event_facts(tables.risk_events(spark, d)).select("src", "dst", "last_seen")
-    scored = links.mark_inactive(conf.join(seen, ["src", "dst"], "left"), "last_seen", FLAG_AS_OF, GraphConfig(inactive_days=INACTIVE_DAYS))
-    v = _vertices(e)
+    """Features, and the scored edges that they were made of."""
+    e = materialize(_edges(spark, d))
     ev = tables.risk_events(spark, d)
+    facts = materialize(confidence.event_facts(ev))
+    conf = confidence.link_confidence(e, facts, FLAG_AS_OF).join(facts.select("src", "dst", "last_seen"), ["src", "dst"], "left")
+    scored = materialize(links.mark_inactive(conf, "last_seen", FLAG_AS_OF, GraphConfig(inactive_days=INACTIVE_DAYS)))
+    v = materialize(_vertices(e))
     chain = [r for r in ingest.rules(IngestConfig(), FLAG_AS_OF) if r.name in ("V1", "V2", "V5", "V6", "V8")]
-    members = _groups(spark, d, PATH_ABOVE)
-    cohesions = com.cohesion(tables.purchase_edges(spark, d, PATH_ABOVE), members)
-    hub = topology.hubs(topology.degrees(v, e))
-    return scoring.features(
-        v, scored, ranks=_rank(spark, d), members=members, cohesions=cohesions, hub_flags=hub,
-        events=ingest.apply_rules(ev, chain), as_of=FLAG_AS_OF,
+    members = materialize(_groups(spark, d))
+    found = scoring.features(
+        v, scored, ranks=topology.pagerank(e, rounds=RANK_ROUNDS), members=members, cohesions=com.cohesion(e, members),
+        hub_flags=topology.hubs(topology.degrees(v, e)), events=ingest.apply_rules(ev, chain), as_of=FLAG_AS_OF,
     )
+    return found, scored
 
 
 def risk_features(spark, d):
-    f = _features(spark, d)
+    f, _ = _features(spark, d)
     # three digits for money: sums in another order may differ in the sixth
     return f.withColumns({c: F.round(c, 3) for c in ("montant_moyen", "montant_std")})
 
@@ -259,13 +262,15 @@ def isolation_scores(spark, d):
 
 
 def forest_on_features(spark, d):
-    return scoring.isolation_scores(_features(spark, d), "id", list(scoring.FEATURES))
+    return scoring.isolation_scores(materialize(_features(spark, d)[0]), "id", list(scoring.FEATURES))
 
 
 def risk_decision(spark, d):
-    f = _features(spark, d)
-    spread = scoring.propagate(_risk_vertices(spark, d), _confidence(spark, d))
-    return scoring.composite(f.select("id"), scoring.heuristic(f), spread, threshold=0.3)
+    f, scored = _features(spark, d)
+    f = materialize(f)
+    spread = scoring.propagate(_risk_vertices(spark, d), scored)
+    decided = scoring.composite(f.select("id"), scoring.heuristic(f), spread, threshold=0.3)
+    return decided.withColumn("decision_cout", scoring.decide(F.col("score_risque")))
 
 
 def confusion_metrics(spark, d):
@@ -298,9 +303,9 @@ def feedback_neighbors(spark, d):
 
 
 def feedback_community(spark, d):
-    members = _groups(spark, d, PATH_ABOVE)
-    cohesions = com.cohesion(tables.purchase_edges(spark, d, PATH_ABOVE), members)
-    cfg = evaluation.FeedbackConfig(cohesion_at=0.01)
+    members = _groups(spark, d)
+    cohesions = com.cohesion(_edges(spark, d), members)
+    cfg = evaluation.FeedbackConfig(cohesion_at=0.3)
     return evaluation.feedback_community(_risk_vertices(spark, d), members, cohesions, _labels(spark, d), cfg)
 
 
@@ -319,9 +324,73 @@ def entity_upsert(spark, d):
 
 
 def edge_insert(spark, d):
-    old = _edges(spark, d).withColumn("type", F.lit("CAUSE_DE"))
-    new = tables.purchase_edges(spark, d, 50.0).withColumn("type", F.lit("CAUSE_DE"))
-    return tables.add_edges(old, new).groupBy("type").agg(F.count("*").alias("n"))
+    """Links that events of the first days made, and then those of all days between known users."""
+    e = tables.risk_events(spark, d).where("type_evenement = 'TRANSACTION' and id_entite_source <> id_entite_cible")
+    e = e.select(F.col("id_entite_source").alias("src"), F.col("id_entite_cible").alias("dst"), F.lit("CAUSE_DE").alias("type"), "horodatage")
+    old = e.where("horodatage < timestamp'2024-01-10'").drop("horodatage").distinct()
+    users = tables.risk_events(spark, d).select(F.col("id_entite_source").alias("id"))
+    return tables.add_edges(old, e.drop("horodatage"), vertices=users)
+
+
+def event_upsert(spark, d):
+    """Event vertices of the first days, refreshed and added to by all events with their flags."""
+    chain = [r for r in ingest.rules(IngestConfig(), FLAG_AS_OF) if r.name in ("V1", "V2", "V5", "V6", "V8")]
+    checked = ingest.apply_rules(tables.risk_events(spark, d), chain).select("id_source", "type_evenement", "montant", "horodatage", "flags_semantiques")
+    known = checked.where("horodatage < timestamp'2024-01-10'").drop("horodatage")
+    old = known.withColumns({
+        "flags_semantiques": F.array().cast("array<string>"), "date_creation": F.to_timestamp(F.lit(LINK_AS_OF)), "date_mise_a_jour": F.lit(None).cast("timestamp"),
+    })
+    out = tables.upsert_events(old, checked.drop("horodatage"), FLAG_AS_OF)
+    return out.select(
+        "id_source", "type_evenement", "montant", F.array_join("flags_semantiques", ",").alias("flags"),
+        F.unix_seconds("date_creation").alias("created"), F.unix_seconds("date_mise_a_jour").alias("updated"),
+    )
+
+
+def normalized_identifiers(spark, d):
+    c = tables.read(spark, d, "customer")
+    return c.select("c_custkey", normalized_identifier(F.concat(F.lit(" \t"), "c_name", F.lit("\n"))).alias("identifiant"))
+
+
+def class_tally(spark, d):
+    rows = tables.read(spark, d, "labels").select(F.when(F.col("toxic") == 1, "FRAUDE").when(F.col("quality") == 0, "SUSPECT").otherwise("NORMAL").alias("categorie"))
+    return evaluation.class_tally(rows, "categorie", "NORMAL", "SUSPECT", "FRAUDE", "INCONNU")
+
+
+def _streamed(spark, d) -> DataFrame:
+    """Table ``events`` as a stream of risk events."""
+    schema = tables.read(spark, d, "events").schema
+    raw = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    return tables.as_risk_events(raw)
+
+
+def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives until its input ends, as a table in the shared folder."""
+    spark = stream.sparkSession
+    out = scratch_path(spark, "stream")
+    query = (
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch_path(spark, "stream-state"))
+        .outputMode(mode).trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+def stream_rules(spark, d):
+    return _flags(_drained(checks.stateless(_streamed(spark, d), FLAG_AS_OF)))
+
+
+def stream_causal_links(spark, d):
+    found = _drained(checks.causal(_streamed(spark, d), _streamed(spark, d)))
+    return found.select("cause", "effect", "cause_type", "effect_type")
+
+
+def stream_outliers(spark, d):
+    return _drained(checks.outliers(_streamed(spark, d))).select("seq", "is_outlier")
+
+
+def stream_spikes(spark, d):
+    return _drained(checks.spikes(_streamed(spark, d), "id_entite_source", IngestConfig(spike_factor=1.5)))
 
 
 def constraint_check(spark, d):
@@ -351,8 +420,8 @@ _QUERIES = (
     core_members, community_evolution, modularity, community_summary, name_similarity, block_candidates, composite_similarity,
     resolve_entities, merge_entities, risk_features, neighbor_risk, isolation_scores, forest_on_features, risk_decision,
     confusion_metrics, held_out_metrics, bias_report, retrain_trigger, feedback_neighbors, feedback_community, null_model,
-    entity_scan, entity_upsert, edge_insert, constraint_check, generated_entities, generated_events,
-    generated_edges, full_pipeline,
+    entity_scan, entity_upsert, edge_insert, event_upsert, normalized_identifiers, class_tally, constraint_check, stream_rules,
+    stream_causal_links, stream_outliers, stream_spikes, generated_entities, generated_events, generated_edges, full_pipeline,
 )
 
 
@@ -366,6 +435,3 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return risk_decision(spark, sf_dir)
-
-
-

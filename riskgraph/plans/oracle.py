@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from riskgraph.functions.scalar import MARKED, PLAIN
-
 EV = """ev AS (SELECT event_id AS seq,
   CASE event_type WHEN 'purchase' THEN 'TRANSACTION' WHEN 'click' THEN 'EMAIL' WHEN 'view' THEN 'SMS'
     WHEN 'error' THEN 'LOG_ACCES' WHEN 'signup' THEN 'APPROBATION' END AS type_evenement,
@@ -14,11 +12,10 @@ EV = """ev AS (SELECT event_id AS seq,
   event_id % 7 AS sources, event_id % 4 AS jump FROM events)"""
 
 
-def _edges(name: str, above: float) -> str:
+def _edges(name: str) -> str:
     return (
         f"{name} AS (SELECT DISTINCT user_id AS src, CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT) AS dst "
-        f"FROM events WHERE event_type = 'purchase' AND value > {above} "
-        f"AND user_id <> CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT))"
+        f"FROM events WHERE event_type = 'purchase' AND user_id <> CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT))"
     )
 
 
@@ -34,8 +31,8 @@ def _components(name: str, edges: str) -> str:
     )
 
 
-E = _edges("e", 100.0)
-P = _edges("p", 150.0)
+E = _edges("e")
+P = _edges("p")
 
 
 def _chain(as_of: str, windowed: bool) -> str:
@@ -105,6 +102,11 @@ ins AS (SELECT a.id_communaute, count(*) AS inside FROM p JOIN cp a ON a.id = p.
   WHERE a.id_communaute = b.id_communaute AND p.src <> p.dst GROUP BY 1),
 coh AS (SELECT id_communaute, size, round(CASE WHEN size < 2 THEN 0 ELSE 2.0 * coalesce(inside, 0) / (size * (size - 1)) END, 6) AS cohesion
   FROM sz LEFT JOIN ins USING (id_communaute))"""
+#: Communities: the customers' nations; and an earlier snapshot of them.
+GROUPS = f"""{_edges('ge')}, gv AS (SELECT src AS id FROM ge UNION SELECT dst FROM ge),
+cp AS (SELECT id, c_nationkey::BIGINT AS id_communaute FROM gv JOIN customer ON c_custkey = id)"""
+BEFORE = """cq AS (SELECT c_custkey AS id, CASE WHEN c_acctbal >= 0 THEN c_nationkey::BIGINT ELSE (c_nationkey::BIGINT + 1) % 25 END AS id_communaute
+  FROM customer WHERE c_mktsegment <> 'BUILDING')"""
 CLASS = "CASE WHEN cohesion < 0.05 THEN 'DIFFUSE' WHEN cohesion < 0.30 THEN 'NORMALE' WHEN cohesion < 0.60 THEN 'DENSE' ELSE 'TRES_DENSE' END"
 CREATED = "cr AS (SELECT user_id AS id, min(ts) AS date_creation FROM events GROUP BY 1)"
 EVOLUTION = """ej AS (SELECT cp.id_communaute, cp.id, cq.id_communaute AS earlier FROM cp LEFT JOIN cq USING (id)),
@@ -122,11 +124,16 @@ core AS (SELECT id_communaute, id FROM og WHERE id_communaute IN (SELECT id_comm
 
 
 def _plain(column: str) -> str:
-    return f"translate(trim(lower(coalesce({column}, ''))), '{MARKED}', '{PLAIN}')"
+    """Normalised text; sharp s becomes one byte, as DuckDB's edit distance counts bytes."""
+    return f"replace(strip_accents(lower(trim(coalesce({column}, '')))), 'ß', chr(1))"
+
+
+NAMES = f"""nm AS (SELECT p_partkey AS id, {_plain('p_name')} AS x, {_plain('p_brand')} AS s FROM part)"""
+TURNS = f"""nm AS (SELECT conv_id, turn, {_plain('text')} AS x, {_plain('role')} AS s FROM conversations)"""
 
 
-NAMES = f"""nm AS (SELECT min(p_partkey) AS id, {_plain('p_name')} AS x, {_plain('p_brand')} AS s FROM part GROUP BY p_name, p_brand)"""
-TURNS = f"""nm AS (SELECT conv_id, turn, {_plain("translate(text, 'ßœ', 'so')")} AS x, {_plain('role')} AS s FROM conversations)"""
+def _uniform(seed: int, name: str, *keys: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', '{seed}', '{name}', {', '.join(f'{k}::VARCHAR' for k in keys)})), 1, 13))::BIGINT / {float(1 << 52)!r})"
 
 
 def _edit(a: str, b: str) -> str:
@@ -144,6 +151,21 @@ def _prefix(a: str, b: str) -> str:
 BLOCKS = f"""bl AS (SELECT a.id AS a, b.id AS b, a.x AS ax, b.x AS bx, a.s AS sa, b.s AS sb FROM nm a JOIN nm b ON a.id < b.id
   WHERE abs(length(a.x) - length(b.x)) / greatest(length(a.x), 1) <= 0.30::DOUBLE * 3
   AND (left(a.x, 3) = left(b.x, 3) OR a.x = '' OR b.x = '' OR ({_edit('left(a.x, 6)', 'left(b.x, 6)')}) > 0.7))"""
+VOLUMES = f"""WITH {EV}, w AS (SELECT seq, src, t, count(*) OVER (PARTITION BY src ORDER BY t RANGE BETWEEN 599999999 PRECEDING AND CURRENT ROW) AS volume FROM ev)
+SELECT seq, volume, volume > 1.5 * greatest(1.0, coalesce(avg(volume) OVER (PARTITION BY src ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0)) AS is_spike FROM w"""
+COMPOSITE = f"""least(1.0, 0.15 * ({_edit('ax', 'bx')}) + 0.08 * ({_prefix('ax', 'bx')}) + 0.12 * ({_edit('sa', 'sb')})
+  + 0.15 + 0.15 + 0.12 + 0.13 + 0.10)"""
+#: Leader clustering: entities in order of id, each with the list of leaders so far.
+RESOLVED = f"""WITH RECURSIVE {NAMES}, {BLOCKS}, sc AS (SELECT a, b FROM bl WHERE ({COMPOSITE})::DOUBLE >= 0.951),
+bf AS (SELECT b, list_sort(list(a)) AS before FROM sc GROUP BY b),
+od AS (SELECT id, row_number() OVER (ORDER BY id) AS i, coalesce(before, []) AS before FROM nm LEFT JOIN bf ON b = id),
+rs(i, id, survivor, leaders) AS (SELECT i, id, id, [id] FROM od WHERE i = 1 UNION ALL
+  SELECT i, id, coalesce(lead, id), CASE WHEN lead IS NULL THEN list_append(leaders, id) ELSE leaders END
+  FROM (SELECT od.i, od.id, rs.leaders, list_filter(od.before, lambda x: list_contains(rs.leaders, x))[1] AS lead FROM rs JOIN od ON od.i = rs.i + 1))"""
+#: The record of a rejected event, as it is kept.
+PAYLOAD = """{'seq': seq, 'id_source': seq, 'type_evenement': type_evenement, 'type_source': type_source,
+  'horodatage': strftime(horodatage, '%Y-%m-%dT%H:%M:%S.%gZ'), 'montant': montant, 'id_entite_source': src, 'id_entite_cible': dst,
+  'score_corroboration': corroboration, 'nombre_sources': sources, 'saut_hierarchique': jump}"""
 LABELS = "lb AS (SELECT user_id AS id, CASE WHEN max(value) > 250 THEN 'FRAUDE' ELSE 'FAUX_POSITIF' END AS label FROM events GROUP BY 1)"
 
 
@@ -154,7 +176,7 @@ def _metrics() -> str:
   round(coalesce((tp * tn - fp * fn) / nullif(sqrt(((tp + fp) * (tp + fn))::DOUBLE * ((tn + fp) * (tn + fn))::DOUBLE), 0), 0), 4) AS mcc"""
 
 
-FEATURE_SQL = f"""WITH RECURSIVE {_chain('2024-02-15', False)}, {E}, {P}, {_rank(10)}, {CONFIDENCE}, {VERT}, {HUBS}, {_components('cp', 'p')}, {COHESION},
+FEATURE_SQL = f"""WITH {_chain('2024-02-15', False)}, {E}, {P}, {_rank(10)}, {CONFIDENCE}, {VERT}, {HUBS}, {GROUPS}, {COHESION},
 fo AS (SELECT src AS id, count(*) AS degre_sortant, avg(coalesce(score_confiance, 0)) AS confiance_moy,
   count(*) FILTER (last_seen < TIMESTAMP '2024-02-15' - INTERVAL 30 DAY) / count(*) AS ratio FROM conf GROUP BY 1),
 fi AS (SELECT dst AS id, count(*) AS degre_entrant FROM conf GROUP BY 1),
@@ -178,20 +200,17 @@ def statements() -> dict[str, str]:
   (b.t - a.t) / 1000000.0::DOUBLE AS delta FROM ev a JOIN ev b ON (a.src = b.src OR a.dst = b.src)
   AND (b.t > a.t OR (b.t = a.t AND b.seq > a.seq)) AND b.t - a.t <= 72 * 3600000000
   WHERE (a.type_evenement, b.type_evenement) IN (('EMAIL','TRANSACTION'),('TRANSACTION','TRANSACTION'),('LOG_ACCES','TRANSACTION'),('EMAIL','APPROBATION')))"""
-    composite = f"""least(1.0, 0.15 * ({_edit('ax', 'bx')}) + 0.08 * ({_prefix('ax', 'bx')}) + 0.12 * ({_edit('sa', 'sb')})
-  + 0.15 + 0.15 + 0.12 + 0.13 + 0.10)"""
     return {
         "validate_events": f"WITH {_chain('2024-07-10', True)} {flags}",
         "validate_rules": f"WITH {_chain('2024-02-15', False)} {flags}",
         "reject_counts": f"WITH {_chain('2024-07-10', False)} SELECT trim(split_part(motif, ':', 1)) AS motif, count(*) AS n FROM v WHERE motif IS NOT NULL GROUP BY 1",
-        "reject_sink": f"WITH {_chain('2024-07-10', False)} SELECT seq::VARCHAR AS identifiant_source, type_evenement, motif AS motif_rejet, true AS bounded FROM v WHERE motif IS NOT NULL",
+        "reject_sink": f"WITH {_chain('2024-07-10', False)} SELECT seq::VARCHAR AS identifiant_source, type_evenement, motif AS motif_rejet, left(to_json({PAYLOAD}), 500) AS donnees_brutes FROM v WHERE motif IS NOT NULL",
         "dedup_events": f"""WITH RECURSIVE {EV}, nx AS (SELECT a.seq, a.src, a.type_evenement, a.t, min(b.t) AS nt FROM ev a LEFT JOIN ev b
   ON a.src = b.src AND a.type_evenement = b.type_evenement AND b.t >= a.t + 3600000000 GROUP BY 1, 2, 3, 4),
 k(src, type_evenement, t) AS (SELECT src, type_evenement, min(t) FROM ev GROUP BY 1, 2 UNION
   SELECT nx.src, nx.type_evenement, nx.nt FROM k JOIN nx ON k.src = nx.src AND k.type_evenement = nx.type_evenement AND k.t = nx.t WHERE nx.nt IS NOT NULL)
 SELECT seq, k.t IS NULL AS is_duplicate FROM ev LEFT JOIN k USING (src, type_evenement, t)""",
-        "volume_spike": f"""WITH {EV}, w AS (SELECT seq, src, t, count(*) OVER (PARTITION BY src ORDER BY t RANGE BETWEEN 599999999 PRECEDING AND CURRENT ROW) AS volume FROM ev)
-SELECT seq, volume, volume > 1.5 * greatest(1.0, coalesce(avg(volume) OVER (PARTITION BY src ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0)) AS is_spike FROM w""",
+        "volume_spike": VOLUMES,
         "amount_outlier": f"""WITH {EV}, h AS (SELECT seq, montant, list_sort(coalesce(list(montant) OVER (ORDER BY seq ROWS BETWEEN 1000 PRECEDING AND 1 PRECEDING), [])) AS past
   FROM ev WHERE type_evenement = 'TRANSACTION' AND montant IS NOT NULL)
 SELECT seq, len(past) AS history, coalesce(len(past) >= 10 AND past[len(past) // 2 + 1] > 0 AND montant > 5.0 * past[len(past) // 2 + 1], false) AS is_outlier FROM h""",
@@ -217,26 +236,27 @@ SELECT o AS id, count(*) AS reach, round(count(*) / sum(d), 6) AS closeness FROM
         "neighbor_jaccard": f"WITH {E}, {JACCARD} SELECT src, dst, round(jaccard, 6) AS jaccard FROM jac",
         "link_confidence": f"WITH {EV}, {E}, {CONFIDENCE} SELECT src, dst, score_confiance FROM conf",
         "components": f"WITH RECURSIVE {P}, {_components('cp', 'p')} SELECT id, id_communaute AS component FROM cp",
-        "cohesion": f"WITH RECURSIVE {P}, {_components('cp', 'p')}, {COHESION} SELECT id_communaute, size, cohesion, {CLASS} AS classe FROM coh",
-        "core_members": f"WITH RECURSIVE {P}, {_components('cp', 'p')}, {CREATED}, {_core(0.05)} SELECT * FROM core",
-        "community_evolution": f"WITH RECURSIVE {P}, {_edges('q', 175.0)}, {_components('cp', 'p')}, {_components('cq', 'q')}, {EVOLUTION} SELECT * FROM evo",
-        "modularity": f"""WITH RECURSIVE {P}, {_components('cp', 'p')}, {_both('nb', 'p')}, m AS (SELECT count(*)::DOUBLE AS m FROM p),
+        "cohesion": f"WITH {P}, {GROUPS}, {COHESION} SELECT id_communaute, size, cohesion, {CLASS} AS classe FROM coh",
+        "core_members": f"WITH {P}, {GROUPS}, {CREATED}, {_core(0.2)} SELECT * FROM core",
+        "community_evolution": f"WITH {P}, {GROUPS}, {BEFORE}, {EVOLUTION} SELECT * FROM evo",
+        "modularity": f"""WITH {P}, {GROUPS}, {_both('nb', 'p')}, m AS (SELECT count(*)::DOUBLE AS m FROM p),
 i AS (SELECT count(*)::DOUBLE AS inside FROM p JOIN cp a ON a.id = p.src JOIN cp b ON b.id = p.dst WHERE a.id_communaute = b.id_communaute),
 k AS (SELECT sum(k * k) AS k2 FROM (SELECT id_communaute, count(*)::DOUBLE AS k FROM nb JOIN cp ON cp.id = nb.src GROUP BY 1))
 SELECT round(inside / m - k2 / (4 * m * m), 6) AS modularity FROM m, i, k""",
-        "community_summary": f"""WITH RECURSIVE {P}, {_edges('q', 175.0)}, {_components('cp', 'p')}, {_components('cq', 'q')}, {EVOLUTION}, {COHESION}, {CREATED}, {_core(0.70)}
+        "community_summary": f"""WITH {P}, {GROUPS}, {BEFORE}, {EVOLUTION}, {COHESION}, {CREATED}, {_core(0.70)}
 SELECT id_communaute, coh.size, round(cohesion, 4) AS cohesion, {CLASS} AS classe, coalesce(k, 0) AS core_size, evolution
 FROM coh JOIN evo USING (id_communaute) LEFT JOIN (SELECT id_communaute, count(*) AS k FROM core GROUP BY 1) USING (id_communaute)""",
         "name_similarity": f"""WITH {TURNS} SELECT a.conv_id, a.turn, round(({_edit('a.x', 'b.x')})::DOUBLE, 6) AS nom, ({_prefix('a.x', 'b.x')})::DOUBLE AS phonetique,
   (a.s = b.s)::INT::DOUBLE AS role FROM nm a JOIN nm b ON b.conv_id = a.conv_id AND b.turn + 1 = a.turn""",
         "block_candidates": f"WITH {NAMES}, {BLOCKS} SELECT a, b FROM bl",
-        "composite_similarity": f"WITH {NAMES}, {BLOCKS}, sc AS (SELECT a, b, ({composite})::DOUBLE AS s FROM bl) SELECT a, b, round(s, 6) AS similarite FROM sc WHERE s >= 0.951",
+        "composite_similarity": f"WITH {NAMES}, {BLOCKS}, sc AS (SELECT a, b, ({COMPOSITE})::DOUBLE AS s FROM bl) SELECT a, b, round(s, 6) AS similarite FROM sc WHERE s >= 0.951",
         "risk_features": f"{FEATURE_SQL} SELECT * REPLACE (round(montant_moyen, 3) AS montant_moyen, round(montant_std, 3) AS montant_std) FROM ft",
         "neighbor_risk": f"WITH {EV}, {E}, {CONFIDENCE}, {VERT}, {RISK}, {GNN} SELECT * FROM gnn",
         "risk_decision": f"""{FEATURE_SQL}, {RISK}, {GNN}, hx AS (SELECT max(nb_flags) AS mf, max(montant_moyen) AS mm FROM ft),
 sc AS (SELECT ft.id, round(0.40 * round(least(1, (synthetique + coalesce(nb_flags / nullif(mf, 0), 0) + coalesce(montant_moyen / nullif(mm, 0), 0)) / 3), 6)
   + 0.60 * score_gnn, 6) AS score_risque FROM ft CROSS JOIN hx JOIN gnn USING (id))
-SELECT id, score_risque, CASE WHEN score_risque >= 0.3 THEN 'FRAUDE_SUSPECTEE' ELSE 'NORMAL' END AS decision_fraude FROM sc""",
+SELECT id, score_risque, CASE WHEN score_risque >= 0.3 THEN 'FRAUDE_SUSPECTEE' ELSE 'NORMAL' END AS decision_fraude,
+  CASE WHEN score_risque >= 200.0 / (200.0 + 50000.0) THEN 'FRAUDE_SUSPECTEE' ELSE 'NORMAL' END AS decision_cout FROM sc""",
         "confusion_metrics": f"""WITH c AS (SELECT count(*) FILTER (toxic = 1 AND quality = 0) AS tp, count(*) FILTER (toxic <> 1 AND quality = 0) AS fp,
   count(*) FILTER (toxic = 1 AND quality <> 0) AS fn, count(*) FILTER (toxic <> 1 AND quality <> 0) AS tn FROM labels) SELECT *, {_metrics()} FROM c""",
         "bias_report": """WITH r AS (SELECT lang AS segment, count(*) AS total, count(*) FILTER (toxic = 1) AS detected,
@@ -248,14 +268,53 @@ SELECT r.*, n >= 2 AND (lo = 0 OR hi / lo > 1.5) AS biais FROM r, x""",
         "feedback_neighbors": f"""WITH {E}, {_both('nb', 'e')}, {VERT}, {RISK}, {LABELS},
 dl AS (SELECT nb.dst AS id, sum(CASE WHEN label = 'FRAUDE' THEN 0.10 ELSE -0.15 END)::DOUBLE AS delta FROM nb JOIN lb ON lb.id = nb.src GROUP BY 1)
 SELECT id, round(least(1, greatest(0, coalesce(risk, 0.1) + delta)), 6) AS score_risque FROM rv JOIN dl USING (id)""",
-        "feedback_community": f"""WITH RECURSIVE {E}, {P}, {VERT}, {RISK}, {LABELS}, {_components('cp', 'p')}, {COHESION},
+        "feedback_community": f"""WITH {E}, {P}, {VERT}, {RISK}, {LABELS}, {GROUPS}, {COHESION},
 st AS (SELECT lb.id, cp.id_communaute, (CASE WHEN label = 'FRAUDE' THEN 0.05 ELSE -0.075 END)::DOUBLE AS step
-  FROM lb JOIN cp USING (id) JOIN coh USING (id_communaute) WHERE cohesion >= 0.01),
+  FROM lb JOIN cp USING (id) JOIN coh USING (id_communaute) WHERE cohesion >= 0.3),
 dl AS (SELECT cp.id, sum(st.step) AS delta FROM cp JOIN st ON st.id_communaute = cp.id_communaute AND st.id <> cp.id GROUP BY 1)
 SELECT rv.id, round(least(1, greatest(0, coalesce(risk, 0.1) + round(delta, 9))), 6) AS score_risque FROM rv JOIN dl USING (id)""",
         "entity_scan": "SELECT c_custkey, c_name, c_mktsegment FROM customer",
         "entity_upsert": """WITH n AS (SELECT DISTINCT o_custkey * 2 AS k FROM orders)
 SELECT coalesce(c_custkey, k) AS c_custkey, CASE WHEN k IS NOT NULL THEN 'ACTIVE' ELSE c_mktsegment END AS c_mktsegment FROM customer FULL JOIN n ON k = c_custkey""",
-        "edge_insert": f"WITH {_edges('q', 50.0)} SELECT 'CAUSE_DE' AS type, count(*) AS n FROM q",
+        "edge_insert": f"""WITH {EV}, n AS (SELECT DISTINCT src, dst, horodatage < TIMESTAMP '2024-01-10' AS old FROM ev
+  WHERE type_evenement = 'TRANSACTION' AND src <> dst), u AS (SELECT DISTINCT src AS id FROM ev)
+SELECT DISTINCT src, dst, 'CAUSE_DE' AS type FROM n WHERE old OR (src IN (SELECT id FROM u) AND dst IN (SELECT id FROM u))""",
+        "event_upsert": f"""WITH {_chain('2024-02-15', False)} SELECT seq AS id_source, type_evenement, montant, array_to_string(flags, ',') AS flags,
+  CASE WHEN horodatage < TIMESTAMP '2024-01-10' THEN 946684800 ELSE 1707955200 END AS created,
+  CASE WHEN horodatage < TIMESTAMP '2024-01-10' THEN 1707955200 END AS updated FROM v""",
+        "normalized_identifiers": "SELECT c_custkey, lower(trim(c_name)) AS identifiant FROM customer",
+        "class_tally": """WITH w AS (SELECT unnest(['NORMAL', 'SUSPECT', 'FRAUDE', 'INCONNU']) AS classe),
+t AS (SELECT CASE WHEN toxic = 1 THEN 'FRAUDE' WHEN quality = 0 THEN 'SUSPECT' ELSE 'NORMAL' END AS classe FROM labels)
+SELECT w.classe, count(t.classe) AS n FROM w LEFT JOIN t USING (classe) GROUP BY 1""",
+        "held_out_metrics": f"""WITH r AS (SELECT *, row_number() OVER (ORDER BY md5('0|' || doc_id), doc_id) - 1 AS place, count(*) OVER () AS n FROM labels),
+h AS (SELECT * FROM r WHERE place >= floor(n * 0.7::DOUBLE)),
+c AS (SELECT count(*) FILTER (toxic = 1 AND quality = 0) AS tp, count(*) FILTER (toxic <> 1 AND quality = 0) AS fp,
+  count(*) FILTER (toxic = 1 AND quality <> 0) AS fn, count(*) FILTER (toxic <> 1 AND quality <> 0) AS tn FROM h) SELECT *, {_metrics()} FROM c""",
+        "null_model": f"""WITH x AS (SELECT 0.25 * least(1, ln(1 + floor({_uniform(0, 'n', 'range')} * 100) + 1) / ln(101))
+  + 0.20 * exp(-0.005 * floor({_uniform(0, 'days', 'range')} * 365)) + 0.20 * (floor({_uniform(0, 'kinds', 'range')} * 5) + 1) / 5
+  + 0.15 * {_uniform(0, 'corroboration', 'range')} AS x FROM range(1000)),
+m AS (SELECT avg(x) AS mean, greatest(stddev_pop(x), 1e-9) AS std FROM x),
+k AS (SELECT mean, std, avg(power(x - mean, 3)) / power(std, 3) AS skewness FROM x, m GROUP BY mean, std)
+SELECT round(mean, 6) AS mean, round(std, 6) AS std, round(skewness, 6) AS skewness, round((0.9 - mean) / std, 6) AS z,
+  (0.9 - mean) / std > 2.0 AS significant, abs(skewness) > 0.5 AS skewed FROM k""",
+        "pagerank_converged": f"""WITH RECURSIVE {P}, {PATHS}, pm AS (SELECT src, dst, count(*) AS mult FROM pp GROUP BY 1, 2),
+po AS (SELECT src, sum(mult)::DOUBLE AS o FROM pm GROUP BY 1), pl AS (SELECT src, dst, o FROM pm JOIN po USING (src)),
+pn AS (SELECT src AS id FROM pl UNION SELECT dst FROM pl), pc AS (SELECT count(*)::DOUBLE AS n FROM pn),
+r(i, id, rank) AS (SELECT 0, id, 1.0::DOUBLE / n FROM pn, pc UNION ALL
+  SELECT g.i + 1, pn.id, 0.15::DOUBLE / n + 0.85 * coalesce(s.got, 0) FROM pn CROSS JOIN pc CROSS JOIN (SELECT min(i) AS i FROM r) g
+  LEFT JOIN (SELECT dst, sum(rank / o) AS got FROM pl JOIN r ON src = r.id GROUP BY 1) s ON s.dst = pn.id WHERE g.i < 100),
+d AS (SELECT a.i, max(abs(a.rank - b.rank)) AS moved FROM r a JOIN r b ON b.id = a.id AND b.i = a.i - 1 WHERE a.i % 5 = 0 GROUP BY 1),
+l AS (SELECT coalesce(min(i) FILTER (moved < 1e-6), 100) AS i FROM d)
+SELECT id, round(rank, 6) AS rank FROM r JOIN l USING (i)""",
+        "resolve_entities": f"{RESOLVED} SELECT id AS merged, survivor FROM rs WHERE id <> survivor",
+        "merge_entities": f"""{RESOLVED}, mv AS (SELECT x.survivor AS src, y.survivor AS dst FROM sc JOIN rs x ON x.id = sc.a JOIN rs y ON y.id = sc.b)
+SELECT count(*) FILTER (id = survivor) AS entities, count(DISTINCT survivor) FILTER (id <> survivor) AS survivors,
+  (SELECT count(*) FROM mv WHERE src <> dst) AS edges FROM rs""",
+        "stream_rules": f"WITH {_chain('2024-02-15', False)} {flags}",
+        "stream_causal_links": f"{causal} SELECT cause, effect, cause_type, effect_type FROM c",
+        "stream_outliers": f"""WITH {EV}, h AS (SELECT seq, montant, list_sort(coalesce(list(montant) OVER (ORDER BY t, seq ROWS BETWEEN 1000 PRECEDING AND 1 PRECEDING), [])) AS past
+  FROM ev WHERE type_evenement = 'TRANSACTION' AND montant IS NOT NULL)
+SELECT seq, coalesce(len(past) >= 10 AND past[len(past) // 2 + 1] > 0 AND montant > 5.0 * past[len(past) // 2 + 1], false) AS is_outlier FROM h""",
+        "stream_spikes": VOLUMES,
         "constraint_check": "SELECT o_custkey::VARCHAR AS key, 'unique' AS rule, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 1 OR o_custkey IS NULL",
     }

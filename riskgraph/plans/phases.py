@@ -47,6 +47,7 @@ class Outcome:
     accepted: DataFrame
     rejects: DataFrame
     merges: DataFrame
+    event_vertices: DataFrame
     event_links: DataFrame
     edges: DataFrame
     features: DataFrame
@@ -91,11 +92,25 @@ def generate(spark: SparkSession, n: int = 1000, seed: int = 42, as_of: str = "2
     )
 
 
-def build_graph(accepted: DataFrame, edges: DataFrame, as_of: str, cfg: GraphConfig | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Phase 3: event vertices, causal links between events, and links marked inactive by age."""
-    vertices = accepted.drop("motif").dropDuplicates(["id_source"])
-    found = links.causal_links(accepted, cfg).withColumn("type", F.lit("CAUSE_DE"))
-    return vertices, found, links.mark_inactive(edges, "date_creation", as_of, cfg)
+def build_graph(
+    accepted: DataFrame, edges: DataFrame, as_of: str, cfg: GraphConfig | None = None,
+    vertices: DataFrame | None = None, event_edges: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Phase 3: event vertices, causal links between events, and links marked inactive by age.
+
+    ``vertices`` and ``event_edges`` are those of earlier runs: known events get their
+    flags refreshed, links that are there stay as they are, and new ones need both ends.
+    """
+    cols = ["id_source", "seq", "type_evenement", "horodatage", "montant", "id_entite_source", "id_entite_cible", "flags_semantiques"]
+    fresh = accepted.select(*cols)
+    old = fresh.limit(0) if vertices is None else vertices
+    events = tables.upsert_events(old, fresh, as_of)
+    found = links.causal_links(accepted, cfg).select(
+        F.col("cause").alias("src"), F.col("effect").alias("dst"), F.lit("CAUSE_DE").alias("type"), "delta_secondes",
+        F.to_timestamp(F.lit(as_of)).alias("date_creation"),
+    )
+    known = found.limit(0) if event_edges is None else event_edges
+    return events, tables.add_edges(known, found, vertices=events, id_col="seq"), links.mark_inactive(edges, "date_creation", as_of, cfg)
 
 
 def analyse(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -107,6 +122,13 @@ def analyse(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame
     return ranks, hubs, topology.cliques(shared), topology.closeness(causal)
 
 
+def first_scores(features: DataFrame, cfg: Settings) -> DataFrame:
+    """Scores of the forest, or of the heuristic that needs no training."""
+    if cfg.forest:
+        return scoring.isolation_scores(features, "id", list(scoring.FEATURES), cfg.scoring)
+    return scoring.heuristic(features)
+
+
 def score(
     vertices: DataFrame, edges: DataFrame, events: DataFrame, ranks: DataFrame, hubs: DataFrame, members: DataFrame,
     synthetic: DataFrame, merges: DataFrame, as_of: str, cfg: Settings,
@@ -118,10 +140,7 @@ def score(
         events=events, as_of=as_of, synthetic=synthetic, merges=merged,
     )
     found = materialize(found)
-    if cfg.forest:
-        first = scoring.isolation_scores(found, "id", list(scoring.FEATURES), cfg.scoring)
-    else:
-        first = scoring.heuristic(found)
+    first = first_scores(found, cfg)
     spread = scoring.propagate(vertices.select("id", F.col("score_risque").alias("risk")), edges, cfg.scoring)
     return found, materialize(scoring.composite(vertices, first, spread, cfg.scoring))
 
@@ -139,8 +158,13 @@ def evaluate(scored: DataFrame, cfg: FeedbackConfig | None = None) -> tuple[Data
     )
 
 
-def run(graph: Graph, as_of: str, cfg: Settings | None = None) -> Outcome:
-    """All phases over the whole graph."""
+def run(graph: Graph, as_of: str, cfg: Settings | None = None, before: Outcome | None = None) -> Outcome:
+    """All phases over the whole graph.
+
+    ``before`` is the outcome of the run before: its communities are what evolution is
+    told against, and its event vertices and links are added to. Without it every
+    community is new.
+    """
     cfg = cfg or Settings()
     checked = materialize(ingest.validate(graph.events, as_of, cfg.ingest))
     accepted = checked.where("motif is null")
@@ -150,8 +174,9 @@ def run(graph: Graph, as_of: str, cfg: Settings | None = None) -> Outcome:
     entities, moved = resolution.merge(graph.entities, graph.edges, merges, "id")
     entities = materialize(entities)
 
-    _, event_links, marked = build_graph(accepted, moved, as_of, cfg.graph)
-    edges = materialize(marked)
+    earlier = (before.event_vertices, before.event_links) if before else (None, None)
+    event_vertices, event_links, marked = build_graph(accepted, moved, as_of, cfg.graph, *earlier)
+    event_vertices, event_links, edges = materialize(event_vertices), materialize(event_links), materialize(marked)
 
     ranks, hubs, cliques, closeness = analyse(entities, edges)
 
@@ -165,7 +190,8 @@ def run(graph: Graph, as_of: str, cfg: Settings | None = None) -> Outcome:
     one = edges.groupBy("src", "dst").agg(F.max("score_confiance").alias("weight"))
     members = materialize(communities.detect(one))
     created = entities.select("id", "date_creation")
-    groups = materialize(communities.summary(edges, members, created, members, as_of))
+    known = before.entities.select("id", "id_communaute") if before else members.limit(0)
+    groups = materialize(communities.summary(edges, members, created, known.where("id_communaute is not null"), as_of))
 
     synthetic = links.synthetic_identities(entities, "id", IDENTITY, "date_creation", as_of, cfg.resolution)
     found, decided = score(entities, edges, accepted, ranks, hubs, members, synthetic, merges, as_of, cfg)
@@ -174,7 +200,7 @@ def run(graph: Graph, as_of: str, cfg: Settings | None = None) -> Outcome:
         done = tables.write_back(done, part, "id")
     done = materialize(done)
     metrics, bias, retrain = evaluate(done, cfg.feedback)
-    return Outcome(done, accepted, rejects, merges, event_links, edges, found, cliques, closeness, groups, metrics, bias, retrain)
+    return Outcome(done, accepted, rejects, merges, event_vertices, event_links, edges, found, cliques, closeness, groups, metrics, bias, retrain)
 
 
 def _attributes(entities: DataFrame, cfg: Settings) -> list[str]:
@@ -182,13 +208,13 @@ def _attributes(entities: DataFrame, cfg: Settings) -> list[str]:
 
 
 def score_one(outcome: Outcome, key, cfg: Settings | None = None) -> DataFrame:
-    """Score and decision of one entity from its stored features, by the heuristic; the filter reaches the scans."""
+    """Score and decision of one entity from its stored features, as the batch scores it; the filter reaches the scans."""
     cfg = cfg or Settings()
     ids = outcome.entities.where(F.col("id") == F.lit(key))
     out = outcome.edges.where(F.col("src") == F.lit(key))
     risks = outcome.entities.join(out.select(F.col("dst").alias("id")).distinct(), "id", "left_semi").unionByName(ids)
     spread = scoring.propagate(risks.select("id", F.col("score_risque").alias("risk")).distinct(), out, cfg.scoring)
-    first = scoring.heuristic(outcome.features).where(F.col("id") == F.lit(key))
+    first = first_scores(outcome.features, cfg).where(F.col("id") == F.lit(key))
     return scoring.composite(ids, first, spread, cfg.scoring)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -17,7 +20,11 @@ def query(spark: SparkSession, sql: str, tables: dict[str, DataFrame], args: dic
 
 def risk_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Table ``events`` as risk events; arrival order is ``seq``."""
-    e = read(spark, sf_dir, "events")
+    return as_risk_events(read(spark, sf_dir, "events"))
+
+
+def as_risk_events(e: DataFrame) -> DataFrame:
+    """Rows of table ``events``, at rest or as a stream, as risk events."""
     k = F.get_json_object("props", "$.k").cast("bigint")
     kind = F.create_map(
         *(F.lit(x) for p in (("purchase", "TRANSACTION"), ("click", "EMAIL"), ("view", "SMS"), ("error", "LOG_ACCES"), ("signup", "APPROBATION")) for x in p)
@@ -64,8 +71,27 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], refresh: list[str] |
     return both.select(*keys, *(value(c) for c in rest))
 
 
-def add_edges(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("src", "dst", "type")) -> DataFrame:
-    """Edges that are not there yet, appended."""
+def upsert_events(old: DataFrame, new: DataFrame, as_of: str, key: str = "id_source") -> DataFrame:
+    """Event vertices: new ones are created, of known ones only the flags are refreshed and the update is dated."""
+    cols = [c for c in old.columns if c not in ("date_creation", "date_mise_a_jour")]
+    now = F.to_timestamp(F.lit(as_of))
+    was = old.select(key, F.lit(True).alias("_was"), *(c for c in ("date_creation", "date_mise_a_jour") if c in old.columns)).dropDuplicates([key])
+    hit = new.select(key, F.lit(True).alias("_hit")).distinct()
+    both = upsert(old.select(*cols), new.select(*cols), [key], refresh=["flags_semantiques"]).join(was, key, "left").join(hit, key, "left")
+    created = F.col("date_creation") if "date_creation" in old.columns else F.lit(None).cast("timestamp")
+    updated = F.col("date_mise_a_jour") if "date_mise_a_jour" in old.columns else F.lit(None).cast("timestamp")
+    return both.select(
+        *cols, F.when(F.col("_was"), created).otherwise(now).alias("date_creation"),
+        F.when(F.col("_was") & F.col("_hit"), now).otherwise(updated).alias("date_mise_a_jour"),
+    )
+
+
+def add_edges(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("src", "dst", "type"), vertices: DataFrame | None = None, id_col: str = "id") -> DataFrame:
+    """Edges that are not there yet, appended; only between ``vertices``, if these are given."""
+    if vertices is not None:
+        ids = vertices.select(F.col(id_col).alias("_id")).distinct()
+        for end in ("src", "dst"):
+            new = new.join(ids, F.col(end) == F.col("_id"), "left_semi")
     return old.unionByName(new.dropDuplicates(list(keys)).join(old, list(keys), "left_anti").select(*old.columns))
 
 
@@ -109,6 +135,49 @@ def snapshot(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def commit(frames: dict[str, DataFrame], root: str) -> int:
+    """Writes several tables as one version of ``root``; all of them become visible together, or none.
+
+    Each goes into a folder of its own. Then a manifest with the next number names the
+    folders; it is written aside and renamed, which succeeds for one writer only.
+    """
+    spark = next(iter(frames.values())).sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(conf)
+    version = latest(spark, root) + 1
+    mark = uuid.uuid4().hex
+    folders = {name: f"{root.rstrip('/')}/data/{name}-{mark}" for name in frames}
+    for name, df in frames.items():
+        df.write.mode("error").parquet(folders[name])
+    aside = path(f"{root.rstrip('/')}/manifest-{mark}.tmp")
+    out = fs.create(aside, False)
+    out.write(bytearray(json.dumps(folders).encode()))
+    out.close()
+    final = path(f"{root.rstrip('/')}/manifest-{version:09d}.json")
+    if fs.exists(final) or not fs.rename(aside, final):
+        fs.delete(aside, False)
+        raise RuntimeError(f"another writer has made version {version} of {root}")
+    return version
+
+
+def latest(spark: SparkSession, root: str) -> int:
+    """The number of the last version of ``root``, 0 before the first."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    found = folder.getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/manifest-*.json"))
+    return max((int(f.getPath().getName()[9:-5]) for f in found or ()), default=0)
+
+
+def open_version(spark: SparkSession, root: str, version: int | None = None) -> dict[str, DataFrame]:
+    """The tables of one version of ``root``, the last by default; none before the first."""
+    version = latest(spark, root) if version is None else version
+    if not version:
+        return {}
+    text = spark.read.text(f"{root.rstrip('/')}/manifest-{version:09d}.json", wholetext=True).first()[0]
+    return {name: spark.read.parquet(folder) for name, folder in json.loads(text).items()}
+
+
 def wipe(spark: SparkSession, path: str, schema, sure: bool = False) -> None:
     """Replaces a table by an empty one; only on explicit request."""
     if not sure:

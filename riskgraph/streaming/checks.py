@@ -57,8 +57,46 @@ def outliers(events: DataFrame, cfg: IngestConfig | None = None, key: str = "typ
     )
 
 
+def spikes(events: DataFrame, key: str, cfg: IngestConfig | None = None, forget: str = "30 days") -> DataFrame:
+    """V4 with its verdict: trailing volume of each event over the key's mean volume so far, from state.
+
+    A batch is taken in order of time and arrival. State holds the times of one window,
+    a sum and a count; a key without events for ``forget`` leaves with the watermark.
+    """
+    cfg = cfg or IngestConfig()
+    width, factor = pd.Timedelta(minutes=cfg.spike_minutes), cfg.spike_factor
+    gone = int(pd.Timedelta(forget).total_seconds() * 1000)
+
+    def fold(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        recent, total, n = (list(state.get[0]), state.get[1], state.get[2]) if state.exists else ([], 0, 0)
+        rows = pd.concat(list(frames)).sort_values(["horodatage", "seq"])
+        times = rows["horodatage"].tolist()
+        out = []
+        for i, t in enumerate(times):
+            recent = [x for x in recent if x > (t - width).value // 1000] + [t.value // 1000]
+            ties = sum(1 for later in times[i + 1 :] if later == t)  # events of the same time count for each other
+            volume = len(recent) + ties
+            usual = max(1.0, total / n) if n else 1.0
+            out.append((rows["seq"].iloc[i], volume, volume > factor * usual))
+            total, n = total + volume, n + 1
+        state.update((recent, total, n))
+        state.setTimeoutTimestamp(max(int(times[-1].value // 1_000_000), state.getCurrentWatermarkMs()) + gone)
+        yield pd.DataFrame(out, columns=["seq", "volume", "is_spike"])
+
+    timed = events.where(F.col("horodatage").isNotNull()).withWatermark("horodatage", f"{cfg.spike_minutes} minutes")
+    return timed.groupBy(key).applyInPandasWithState(
+        fold, "seq bigint, volume bigint, is_spike boolean", "recent array<bigint>, total bigint, n bigint", "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def causal(causes: DataFrame, effects: DataFrame, cfg: GraphConfig | None = None) -> DataFrame:
-    """J1 on two streams: an interval join bounded by both watermarks."""
+    """J1 on two streams: an interval join bounded by both watermarks.
+
+    As in the batch join, missing entities match each other and ties in time follow arrival.
+    """
     cfg = cfg or GraphConfig()
     late = f"{cfg.causal_hours} hours"
     c = causes.withWatermark("horodatage", late).select(
@@ -71,16 +109,21 @@ def causal(causes: DataFrame, effects: DataFrame, cfg: GraphConfig | None = None
     )
     patterns = F.struct("cause_type", "effect_type").isin(*(F.struct(F.lit(a), F.lit(b)) for a, b in cfg.causal_patterns))
     window = (F.col("effect_t") >= F.col("cause_t")) & (F.col("effect_t") <= F.col("cause_t") + F.expr(f"interval {cfg.causal_hours} hours"))
-    return c.join(e, (F.col("key") == F.col("effect_key")) & window & patterns).where("cause <> effect")
+    later = (F.col("effect_t") > F.col("cause_t")) | (F.col("effect") > F.col("cause"))
+    return c.join(e, F.col("key").eqNullSafe(F.col("effect_key")) & window & later & patterns)
 
 
 def split_sink(accepted: str, rejected: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: one pass writes accepted and rejected events to their tables."""
+    """For ``foreachBatch``: one pass writes accepted and rejected events to their tables.
+
+    Each batch has a folder of its own number, so a batch that is played again replaces
+    what it wrote before.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.persist()
-        batch.where("motif is null").write.mode("append").parquet(accepted)
-        batch.where("motif is not null").write.mode("append").parquet(rejected)
+        batch.where("motif is null").write.mode("overwrite").parquet(f"{accepted}/batch={number}")
+        batch.where("motif is not null").write.mode("overwrite").parquet(f"{rejected}/batch={number}")
         batch.unpersist()
 
     return write
