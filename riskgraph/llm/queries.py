@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskgraph.llm import bpe, cotraining, html_extract, licenses, minhash, packing, pii, pivots, quality_rules, secrets
+from riskgraph.llm import bpe, cotraining, html_extract, licenses, minhash, oracle, packing, pii, pivots, quality_rules, secrets
 
 
 #: Key of the pseudonyms in the registered query; a deployment passes its own secret.
@@ -57,15 +57,31 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def base_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of ``op2``."""
+    return op2_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def base_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of ``op4``."""
+    return op4_license_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def base_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of ``op6``."""
+    return op6_quality_rules(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_html_extraction, op2_secret_scan, op3_quality_classifier, op4_license_scan, op5_minhash_dedup,
             op6_quality_rules, op7_embedding_dedup, op8_bpe, op9_pii, op10_packing,
+            base_secret_scan, base_license_scan, base_quality_rules,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.statements()
