@@ -1,6 +1,6 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-A vector is described by its ``NEAREST`` nearest reference points in order. Inverted
+A vector is described by its 8 or 10 nearest reference points in order. Inverted
 lists are kept for the sets of ``SHARED`` of them, so two vectors meet in a list
 exactly if they share that many; a pair that shares more counts only in the list of
 its first shared pivots. The number of pivots grows with the root of the number of
@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 from riskgraph.functions.cluster import hash_sample, materialize, ship_package
 from riskgraph.functions.graph import connected_components
 
-#: Pivots of a vector, and how many of them two vectors have to share.
-NEAREST, SHARED = 8, 2
+#: Pivots of a vector while there are up to so many, and beyond, where like vectors share fewer; how many two have to share.
+NEAREST, MANY, NEAREST_OF_MANY, SHARED = 8, 1 << 14, 10, 2
 #: Pivots for ``BASE_ROWS`` vectors; a sketch's 16 bits a pivot bound their number.
 PIVOTS, BASE_ROWS, MOST_PIVOTS = 2048, 10_000, 1 << 16
 #: Rows read to choose pivots from, how many may be chosen, and the cosine that two of them may have at most.
@@ -57,6 +57,11 @@ def pivot_count(n: int) -> int:
     return int(min(MOST_PIVOTS, max(64, round(PIVOTS * (n / BASE_ROWS) ** 0.5))))
 
 
+def nearest_count(pivots: int) -> int:
+    """Pivots that describe a vector: of pairs at 0.9, 0.93 share two of 8 among 16,384, 0.95 share two of 10 among 65,536."""
+    return NEAREST if pivots <= MANY else NEAREST_OF_MANY
+
+
 def choose_pivots(rows: list[list[float]], most: int, dim: int) -> np.ndarray:
     """Mutually apart directions out of ``rows``."""
     out = np.empty((most, dim), dtype=np.float32)
@@ -108,7 +113,8 @@ def sign_limit(threshold: float) -> int:
 
 def _describe(chosen: dict[int, np.ndarray], count: int):
     """Adds lists, near pivots and sketches to batches of (rep, copies, vector)."""
-    sets = np.array(list(combinations(range(NEAREST), SHARED)))
+    nearest = nearest_count(count)
+    sets = np.array(list(combinations(range(nearest), SHARED)))
 
     def describe(batch: pa.RecordBatch) -> pa.RecordBatch:
         vectors = batch.column(2)
@@ -120,7 +126,7 @@ def _describe(chosen: dict[int, np.ndarray], count: int):
             at = np.flatnonzero(sizes == dim)
             x = unit(flat[(ends[at] - dim)[:, None] + np.arange(dim)])
             mine = chosen.get(dim, np.empty((0, dim), dtype=np.float32))
-            found = nearest_pivots(x, [mine, _random(dim, count - len(mine), 0)], NEAREST)
+            found = nearest_pivots(x, [mine, _random(dim, count - len(mine), 0)], nearest)
             pick = found[:, sets]
             keys = pick[..., 0] << _BITS | pick[..., 1] | dim << 2 * _BITS
             signs = sketch(x)
