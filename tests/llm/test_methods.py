@@ -214,7 +214,7 @@ def test_recall_just_above_the_threshold(spark, dim):
     assert sum(got.values()) >= 0.93 * hit.sum() >= 0.93 * 800
 
 
-@pytest.mark.parametrize("n", [10_000, 1_000_000])
+@pytest.mark.parametrize("n", [10_000, 400_000, 1_000_000])
 def test_recall_with_more_pivots(n):
     # the rule of the lists alone, for the pivots that so many vectors would have
     rng = np.random.default_rng(4)
@@ -225,7 +225,7 @@ def test_recall_with_more_pivots(n):
     off -= (off * x).sum(axis=1)[:, None] * x
     y = 0.905 * x + math.sqrt(1 - 0.905**2) * off / np.linalg.norm(off, axis=1)[:, None]
     lists = [pivots._random(dim, count, 0)]
-    a, b = (pivots.nearest_pivots(v, lists, pivots.NEAREST) for v in (x, y))
+    a, b = (pivots.nearest_pivots(v, lists, pivots.nearest_count(count)) for v in (x, y))
     shared = (a[:, :, None] == b[:, None, :]).any(axis=2).sum(axis=1)
     assert (shared >= pivots.SHARED).mean() >= 0.92
     assert (np.unpackbits(pivots.sketch(x) ^ pivots.sketch(y), axis=1).sum(axis=1) <= pivots.sign_limit(0.9)).all()
