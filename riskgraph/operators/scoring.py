@@ -27,7 +27,8 @@ def features(
     """The sixteen features of each vertex ``id``.
 
     Every side is aggregated by vertex before it is joined, so joins never fan out.
-    ``edges`` has ``src, dst, score_confiance, inactif``; ``events`` carries flags.
+    ``edges`` has ``src, dst, score_confiance, inactif``; ``events`` carries flags. Values
+    are rounded to six digits, halves up whatever order a mean was added up in.
     """
     out = edges.groupBy(F.col("src").alias("id")).agg(
         F.count("*").alias("degre_sortant"), F.avg(F.coalesce("score_confiance", F.lit(0.0))).alias("confiance_moy"),
@@ -51,7 +52,7 @@ def features(
     joined = joined.join(merges, "id", "left") if merges is not None else joined.withColumn("nb_fusions", F.lit(0))
     joined = joined.withColumn("nb_communautes", F.lit(1)).withColumn("anciennete", whole_days(F.to_timestamp(F.lit(as_of)), F.col("first_seen")))
     default = {"corroboration": 0.5}
-    return joined.select("id", *(F.round(F.coalesce(F.col(c).cast("double"), F.lit(default.get(c, 0.0))), 6).alias(c) for c in FEATURES))
+    return joined.select("id", *(F.round(F.coalesce(F.col(c).cast("double"), F.lit(default.get(c, 0.0))) + 1e-10, 6).alias(c) for c in FEATURES))
 
 
 def propagate(vertices: DataFrame, edges: DataFrame, cfg: ScoringConfig | None = None) -> DataFrame:

@@ -117,7 +117,9 @@ def pagerank_converged(spark, d):
 
 
 def cliques(spark, d):
-    return topology.cliques(_edges(spark, d))
+    """Of customers who share nation, segment and thousands of their balance."""
+    c = tables.read(spark, d, "customer").withColumn("band", F.floor(F.col("c_acctbal") / 1000))
+    return topology.cliques(links.shared_attribute_pairs(c, "c_custkey", ["c_nationkey", "c_mktsegment", "band"]))
 
 
 def closeness_bounded(spark, d):

@@ -183,13 +183,13 @@ fi AS (SELECT dst AS id, count(*) AS degre_entrant FROM conf GROUP BY 1),
 fh AS (SELECT nd.src AS id, count(*) AS nb_hubs FROM nd JOIN hub ON hub.id = nd.dst AND est_hub GROUP BY 1),
 fa AS (SELECT src AS id, avg(montant) AS mm, stddev_pop(montant) AS ms, sum(len(flags)) AS nf, min(horodatage) AS fs, avg(corroboration) AS co FROM v GROUP BY 1),
 fc AS (SELECT id_communaute, avg(coalesce(rank, 0)) AS pc FROM cp LEFT JOIN r10 USING (id) GROUP BY 1),
-ft AS (SELECT vt.id, round(coalesce(rank, 0)::DOUBLE, 6) AS pagerank, coalesce(degre_entrant, 0)::DOUBLE AS degre_entrant,
-  coalesce(degre_sortant, 0)::DOUBLE AS degre_sortant, round(coalesce(confiance_moy, 0)::DOUBLE, 6) AS confiance_moy,
-  round(coalesce(cohesion, 0)::DOUBLE, 6) AS cohesion, 0.0::DOUBLE AS synthetique, coalesce(nf, 0)::DOUBLE AS nb_flags,
-  round(coalesce(mm, 0)::DOUBLE, 6) AS montant_moyen, round(coalesce(ms, 0)::DOUBLE, 6) AS montant_std, 1.0::DOUBLE AS nb_communautes,
+ft AS (SELECT vt.id, round(coalesce(rank, 0)::DOUBLE + 1e-10, 6) AS pagerank, coalesce(degre_entrant, 0)::DOUBLE AS degre_entrant,
+  coalesce(degre_sortant, 0)::DOUBLE AS degre_sortant, round(coalesce(confiance_moy, 0)::DOUBLE + 1e-10, 6) AS confiance_moy,
+  round(coalesce(cohesion, 0)::DOUBLE + 1e-10, 6) AS cohesion, 0.0::DOUBLE AS synthetique, coalesce(nf, 0)::DOUBLE AS nb_flags,
+  round(coalesce(mm, 0)::DOUBLE + 1e-10, 6) AS montant_moyen, round(coalesce(ms, 0)::DOUBLE + 1e-10, 6) AS montant_std, 1.0::DOUBLE AS nb_communautes,
   coalesce(floor((epoch(TIMESTAMP '2024-02-15') - floor(epoch(fs))) / 86400), 0)::DOUBLE AS anciennete, 0.0::DOUBLE AS nb_fusions,
-  round(coalesce(pc, 0)::DOUBLE, 6) AS pagerank_com, round(coalesce(ratio, 0)::DOUBLE, 6) AS ratio_inactifs,
-  coalesce(nb_hubs, 0)::DOUBLE AS nb_hubs, round(coalesce(co, 0.5)::DOUBLE, 6) AS corroboration
+  round(coalesce(pc, 0)::DOUBLE + 1e-10, 6) AS pagerank_com, round(coalesce(ratio, 0)::DOUBLE + 1e-10, 6) AS ratio_inactifs,
+  coalesce(nb_hubs, 0)::DOUBLE AS nb_hubs, round(coalesce(co, 0.5)::DOUBLE + 1e-10, 6) AS corroboration
   FROM vt LEFT JOIN r10 USING (id) LEFT JOIN fo USING (id) LEFT JOIN fi USING (id) LEFT JOIN cp USING (id) LEFT JOIN coh USING (id_communaute)
   LEFT JOIN fc USING (id_communaute) LEFT JOIN fh USING (id) LEFT JOIN fa USING (id))"""
 
@@ -225,7 +225,8 @@ SELECT a.id, count(*) AS n_recent FROM c a JOIN c b ON a.id <> b.id AND (a.bal =
         "two_hop_paths": f"WITH {P}, {PATHS} SELECT src, dst, count(*) AS n_paths FROM pp GROUP BY 1, 2",
         "degree_hubs": f"WITH {E}, {_both('nb', 'e')}, {VERT}, {HUBS} SELECT id, degre, round(threshold, 6) AS threshold, est_hub FROM hub",
         "pagerank_k": f"WITH {P}, {_rank(10)} SELECT id, round(rank, 6) AS rank FROM r10",
-        "cliques": f"""WITH {E}, {_both('nb', 'e')}, s0 AS (SELECT DISTINCT src, dst FROM nb), big AS (SELECT src FROM s0 GROUP BY 1 HAVING count(*) >= 2),
+        "cliques": f"""WITH c AS (SELECT c_custkey AS id, c_nationkey AS n, c_mktsegment AS m, floor(c_acctbal / 1000) AS b FROM customer),
+e AS (SELECT x.id AS src, y.id AS dst FROM c x JOIN c y ON x.n = y.n AND x.m = y.m AND x.b = y.b AND x.id < y.id), {_both('nb', 'e')}, s0 AS (SELECT DISTINCT src, dst FROM nb), big AS (SELECT src FROM s0 GROUP BY 1 HAVING count(*) >= 2),
 s AS (SELECT * FROM s0 WHERE src IN (SELECT src FROM big) AND dst IN (SELECT src FROM big)),
 d AS (SELECT src AS v, count(*) AS d, list_sort(list(dst) || [src]) AS m FROM s GROUP BY src HAVING count(*) >= 2),
 t AS (SELECT a.src AS v, count(*) AS tri FROM s a JOIN s x ON x.src = a.dst AND x.src < x.dst JOIN s b ON b.src = a.src AND b.dst = x.dst GROUP BY 1)
