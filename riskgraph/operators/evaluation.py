@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskgraph.config import FeedbackConfig
-from riskgraph.functions.order import with_position
+from riskgraph.functions.order import shuffled
 from riskgraph.functions.scalar import clamp, classification_metrics
 from riskgraph.operators.links import symmetric
 
@@ -25,9 +25,8 @@ def confusion(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
 def held_out(rows: DataFrame, key: str, cfg: FeedbackConfig | None = None, seed: int = 0) -> DataFrame:
     """The part after the training share, in an order shuffled by digest; the cut is exact."""
     cfg = cfg or FeedbackConfig()
-    shuffled = rows.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")))
-    placed = with_position(shuffled, ["_h", key], "_r")
-    return placed.where(F.col("_r") >= int(rows.count() * cfg.train_share)).drop("_h", "_r")
+    placed = shuffled(rows, key, seed, "_r")
+    return placed.where(F.col("_r") >= int(rows.count() * cfg.train_share)).drop("_r")
 
 
 def bias(rows: DataFrame, segment: str, detected: str, cfg: FeedbackConfig | None = None) -> DataFrame:

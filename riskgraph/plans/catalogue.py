@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgraph.config import CommunityConfig, GraphConfig, IngestConfig, ResolutionConfig
+from riskgraph.functions import scalar
 from riskgraph.functions.cluster import materialize, scratch_path
+from riskgraph.functions.order import shuffled, with_position
 from riskgraph.functions.scalar import edit_similarity, exact_similarity, normalized, normalized_identifier, prefix_similarity
 from riskgraph.operators import communities as com
 from riskgraph.operators import confidence, evaluation, ingest, links, resolution, scoring, topology
@@ -359,6 +361,70 @@ def class_tally(spark, d):
     return evaluation.class_tally(rows, "categorie", "NORMAL", "SUSPECT", "FRAUDE", "INCONNU")
 
 
+def scalar_functions(spark, d):
+    """The scalar functions that no other query takes, over the customers."""
+    c = tables.read(spark, d, "customer")
+    key = F.col("c_custkey")
+    day = F.concat(F.lit("2024-01-"), F.lpad((key % 28 + 1).cast("string"), 2, "0"), F.lit("T06:00:00"), F.when(key % 2 == 0, "+02:00").otherwise(""))
+    return c.select(
+        "c_custkey", scalar.sha256_hex(F.col("c_name")).alias("empreinte"), F.round(scalar.isolation_depth(key), 6).alias("profondeur"),
+        F.round(scalar.clamp(F.col("c_acctbal") / 5000.0), 6).alias("borne"), F.round(scalar.frequency(key), 6).alias("frequence"),
+        F.round(scalar.recency(key, 0.005), 6).alias("recence"), F.unix_seconds(scalar.utc(day)).alias("utc"),
+    )
+
+
+def shuffled_entities(spark, d):
+    return shuffled(tables.read(spark, d, "customer").select("c_custkey"), "c_custkey", 7)
+
+
+def dense_numbers(spark, d):
+    """Brands numbered densely in their order."""
+    return with_position(tables.read(spark, d, "part").select("p_brand").distinct(), ["p_brand"], "numero")
+
+
+def recorded_labels(spark, d):
+    """Buyers whose label is known keep it unless a new one comes."""
+    v = _risk_vertices(spark, d).withColumn("label_verite", F.when(F.col("risk") > 0.5, "NORMAL"))
+    return evaluation.record_labels(v, _labels(spark, d).where("label = 'FRAUDE'")).select("id", "label_verite")
+
+
+def written_back(spark, d):
+    """Customers with the number and the sum of their orders, where they have any."""
+    c = tables.read(spark, d, "customer").select("c_custkey", "c_mktsegment")
+    o = tables.read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n_orders"), F.max("o_orderkey").alias("last_order"))
+    return tables.write_back(c, o, "c_custkey")
+
+
+def deleted_vertices(spark, d):
+    """What is left of the buyers' graph without suspects: ids, and edges as ids with a target."""
+    e = _edges(spark, d)
+    gone = _labels(spark, d).where("label = 'FRAUDE'").select("id")
+    v, left = tables.delete_vertices(_vertices(e), e, gone, key="id")
+    return v.select(F.col("id").alias("src"), F.lit(None).cast("bigint").alias("dst")).unionByName(left.select("src", "dst"))
+
+
+def versioned_tables(spark, d):
+    """Rows of two versions of a graph, of which the second replaces the edges alone."""
+    root = scratch_path(spark, "versions")
+    e = materialize(_edges(spark, d))
+    tables.commit({"vertices": _vertices(e), "edges": e}, root)
+    tables.commit({"edges": e.where("src < dst")}, root)
+    parts = [
+        df.agg(F.lit(number).alias("version"), F.lit(name).alias("name"), F.count("*").alias("n"))
+        for number in (1, 2) for name, df in sorted(tables.open_version(spark, root, number).items())
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def stream_dedup(spark, d):
+    """Keys of which the stream lets one event through."""
+    kept = checks.dedup(_streamed(spark, d), ["id_entite_source", "type_evenement"])
+    return _drained(kept).select("id_entite_source", "type_evenement")
+
+
 def _streamed(spark, d) -> DataFrame:
     """Table ``events`` as a stream of risk events."""
     schema = tables.read(spark, d, "events").schema
@@ -422,7 +488,8 @@ _QUERIES = (
     core_members, community_evolution, modularity, community_summary, name_similarity, block_candidates, composite_similarity,
     resolve_entities, merge_entities, risk_features, neighbor_risk, isolation_scores, forest_on_features, risk_decision,
     confusion_metrics, held_out_metrics, bias_report, retrain_trigger, feedback_neighbors, feedback_community, null_model,
-    entity_scan, entity_upsert, edge_insert, event_upsert, normalized_identifiers, class_tally, constraint_check, stream_rules,
+    entity_scan, entity_upsert, edge_insert, event_upsert, normalized_identifiers, class_tally, constraint_check, scalar_functions,
+    shuffled_entities, dense_numbers, recorded_labels, written_back, deleted_vertices, versioned_tables, stream_dedup, stream_rules,
     stream_causal_links, stream_outliers, stream_spikes, generated_entities, generated_events, generated_edges, full_pipeline,
 )
 

@@ -311,6 +311,23 @@ SELECT id, round(rank, 6) AS rank FROM r JOIN l USING (i)""",
         "merge_entities": f"""{RESOLVED}, mv AS (SELECT x.survivor AS src, y.survivor AS dst FROM sc JOIN rs x ON x.id = sc.a JOIN rs y ON y.id = sc.b)
 SELECT count(*) FILTER (id = survivor) AS entities, count(DISTINCT survivor) FILTER (id <> survivor) AS survivors,
   (SELECT count(*) FROM mv WHERE src <> dst) AS edges FROM rs""",
+        "scalar_functions": """SELECT c_custkey, sha256(c_name) AS empreinte,
+  round(CASE WHEN c_custkey <= 1 THEN 0 ELSE 2.0 * (ln(c_custkey - 1) + 0.5772156649015329::DOUBLE) - 2.0 * (c_custkey - 1) / c_custkey END::DOUBLE, 6) AS profondeur,
+  round(least(1.0, greatest(0.0, c_acctbal / 5000.0))::DOUBLE, 6) AS borne, round(least(1.0, ln(1 + c_custkey) / ln(101))::DOUBLE, 6) AS frequence,
+  round(exp(-0.005::DOUBLE * c_custkey), 6) AS recence,
+  epoch(TIMESTAMP '2024-01-01 06:00:00')::BIGINT + (c_custkey % 28) * 86400 - CASE WHEN c_custkey % 2 = 0 THEN 7200 ELSE 0 END AS utc FROM customer""",
+        "shuffled_entities": "SELECT c_custkey, row_number() OVER (ORDER BY md5('7|' || c_custkey), c_custkey) - 1 AS position FROM customer",
+        "dense_numbers": "SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS numero FROM (SELECT DISTINCT p_brand FROM part)",
+        "recorded_labels": f"""WITH {E}, {VERT}, {RISK}, {LABELS} SELECT rv.id, CASE WHEN label = 'FRAUDE' THEN 'FRAUDE' WHEN risk > 0.5 THEN 'NORMAL' END AS label_verite
+FROM rv LEFT JOIN lb USING (id)""",
+        "written_back": """SELECT c_custkey, c_mktsegment, n AS n_orders, m AS last_order FROM customer
+LEFT JOIN (SELECT o_custkey, count(*) AS n, max(o_orderkey) AS m FROM orders GROUP BY 1) ON o_custkey = c_custkey""",
+        "deleted_vertices": f"""WITH {E}, {VERT}, {LABELS}, gone AS (SELECT id FROM lb WHERE label = 'FRAUDE')
+SELECT id AS src, NULL::BIGINT AS dst FROM vt WHERE id NOT IN (SELECT id FROM gone)
+UNION ALL SELECT src, dst FROM e WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)""",
+        "versioned_tables": f"""WITH {E}, {VERT} SELECT 1 AS version, 'edges' AS name, count(*) AS n FROM e UNION ALL SELECT 1, 'vertices', count(*) FROM vt
+UNION ALL SELECT 2, 'edges', count(*) FROM e WHERE src < dst""",
+        "stream_dedup": f"WITH {EV} SELECT DISTINCT src AS id_entite_source, type_evenement FROM ev",
         "stream_rules": f"WITH {_chain('2024-02-15', False)} {flags}",
         "stream_causal_links": f"{causal} SELECT cause, effect, cause_type, effect_type FROM c",
         "stream_outliers": f"""WITH {EV}, h AS (SELECT seq, montant, list_sort(coalesce(list(montant) OVER (ORDER BY t, seq ROWS BETWEEN 1000 PRECEDING AND 1 PRECEDING), [])) AS past
