@@ -466,15 +466,17 @@ def constraint_check(spark, d):
 
 
 def generated_entities(spark, d):
-    return generator.entities(spark)
+    e = generator.entities(spark)
+    rounded = {c: F.round(c, 6) for c in ("score_risque", "montant_moyen", "montant_ecart_type")}
+    return e.withColumns({**rounded, "date_creation": F.unix_seconds("date_creation")})
 
 
 def generated_events(spark, d):
-    return generator.events(generator.entities(spark))
+    return generator.events(generator.entities(spark)).withColumn("horodatage", F.unix_seconds("horodatage"))
 
 
 def generated_edges(spark, d):
-    return generator.edges(generator.entities(spark))
+    return generator.edges(generator.entities(spark)).withColumn("date_creation", F.unix_seconds("date_creation"))
 
 
 def full_pipeline(spark, d):

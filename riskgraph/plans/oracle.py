@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from riskgraph.sources import generator
+
 EV = """ev AS (SELECT event_id AS seq,
   CASE event_type WHEN 'purchase' THEN 'TRANSACTION' WHEN 'click' THEN 'EMAIL' WHEN 'view' THEN 'SMS'
     WHEN 'error' THEN 'LOG_ACCES' WHEN 'signup' THEN 'APPROBATION' END AS type_evenement,
@@ -169,6 +171,90 @@ PAYLOAD = """{'seq': seq, 'id_source': seq, 'type_evenement': type_evenement, 't
 LABELS = "lb AS (SELECT user_id AS id, CASE WHEN max(value) > 250 THEN 'FRAUDE' ELSE 'FAUX_POSITIF' END AS label FROM events GROUP BY 1)"
 
 
+def _pick(values: tuple[str, ...], u: str) -> str:
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"[{listed}][floor({u} * {len(values)})::BIGINT + 1]"
+
+
+def _whole(u: str, low: int, high: int) -> str:
+    return f"(floor({u} * {high - low + 1})::BIGINT + {low})"
+
+
+def _generated(n: int = 1000, seed: int = 42, rings: int = 5) -> str:
+    """CTE en: the generator's entities, from their definition."""
+
+    def u(name: str) -> str:
+        return _uniform(seed, name, "id")
+
+    ip = " || '.' || ".join([f"CASE WHEN odd THEN {_whole(u('ip0'), 193, 223)} ELSE {_whole(u('ip0'), 10, 192)} END", *(_whole(u(f"ip{i}"), 1, 254) for i in (1, 2, 3))])
+    return f"""ea AS (SELECT range AS id, CASE WHEN range < {n // 10} THEN (range % {rings})::INT END AS id_reseau, range < {n // 10 + n * 15 // 100} AS odd,
+  CASE WHEN range < {n // 10} THEN 'FRAUDE' WHEN range < {n // 10 + n * 15 // 100} THEN 'SUSPECT' ELSE 'NORMAL' END AS categorie FROM range({n})),
+eb AS (SELECT *, {_pick(generator.KINDS, u('kind'))} AS type_entite, {_pick(generator.FIRST_NAMES, u('first'))} AS prenom,
+  {_pick(generator.LAST_NAMES, u('last'))} AS nom_famille, {_pick(generator.CITIES, u('city'))} AS ville FROM ea),
+en AS (SELECT id, odd, 'ENT-' || lpad(id::VARCHAR, 8, '0') AS identifiant, prenom || ' ' || nom_famille AS nom, prenom, nom_famille,
+  translate(lower(prenom || '.' || nom_famille), 'éèêëîïôöûüàâç', 'eeeeiioouuaac') || {_whole(u('box'), 1, 99)} || '@' || {_pick(generator.MAIL_DOMAINS, u('mail'))} AS email,
+  '+33' || {_pick(('6', '7'), u('mobile'))} || lpad({_whole(u('phone'), 0, 10**8 - 1)}::VARCHAR, 8, '0') AS telephone,
+  CASE WHEN id_reseau IS NOT NULL THEN (id_reseau + 1) || ' quai du Réseau' ELSE {_whole(u('house'), 1, 200)} || ' ' || {_pick(generator.STREETS, u('street'))} || ' ' || ville END AS adresse,
+  CASE WHEN id_reseau IS NOT NULL THEN '203.0.113.' || (id_reseau + 1) ELSE {ip} END AS adresse_ip,
+  'CPT-' || lpad({_whole(u('account'), 0, 10**10 - 1)}::VARCHAR, 10, '0') AS numero_compte,
+  CASE WHEN type_entite = 'ENTREPRISE' THEN lpad({_whole(u('siret'), 0, 10**14 - 1)}::VARCHAR, 14, '0') END AS siret,
+  type_entite, {_pick(generator.SEGMENTS, u('segment'))} AS segment, categorie, id_reseau,
+  round(CASE WHEN odd THEN 0.6::DOUBLE + {u('risk')} * 0.35::DOUBLE ELSE {u('risk')} * 0.35::DOUBLE END, 6) AS score_risque,
+  epoch(TIMESTAMP '2024-07-01')::BIGINT - 86400 * {_whole(u('age'), 0, 1095)} AS date_creation, ville,
+  round(CASE WHEN odd THEN 8000 + {u('mean')} * 192000 ELSE 10 + {u('mean')} * 4990 END, 6) AS montant_moyen,
+  round(CASE WHEN odd THEN 100 + {u('std')} * 4900 ELSE 10 + {u('std')} * 490 END, 6) AS montant_ecart_type,
+  CASE WHEN odd THEN {_whole(u('communities'), 1, 3)} ELSE 1 END::INT AS nb_communautes, false AS est_hub,
+  categorie = 'FRAUDE' AND {u('synthetic')} < 0.4::DOUBLE AS identite_synthetique, 0.0::DOUBLE AS score_pagerank,
+  CASE WHEN odd AND {u('label')} < 0.6::DOUBLE THEN 'FRAUDE' END AS label_verite, {_pick(generator.MODELS, u('model'))} AS segment_modele FROM eb)"""
+
+
+def _generated_events(n: int = 1000, seed: int = 42, rings: int = 5) -> str:
+    def u(name: str) -> str:
+        return _uniform(seed, name, "identifiant", "k", "ring")
+
+    def kind(shares: tuple[int, ...]) -> str:
+        steps = [sum(shares[: i + 1]) / 100 for i in range(len(shares))]
+        return "CASE " + " ".join(f"WHEN {u('kind')} < {t}::DOUBLE THEN '{k}'" for k, t in zip(generator.EVENT_KINDS, steps, strict=True)) + " END"
+
+    one = _uniform(seed, "n", "identifiant")
+    raw = f"CASE WHEN odd THEN 8000 + {u('amount')} * 192000 ELSE 10 + {u('amount')} * 4990 END"
+    return f"""WITH {_generated(n, seed, rings)}, ez AS (SELECT id_reseau, count(*) AS size FROM en WHERE id_reseau IS NOT NULL GROUP BY 1),
+es AS (SELECT en.*, size FROM en LEFT JOIN ez USING (id_reseau)),
+ek AS (SELECT es.*, unnest(generate_series(1, CASE WHEN odd THEN {_whole(one, 1, 24)} ELSE {_whole(one, 1, 8)} END)) AS k, false AS ring FROM es
+  UNION ALL SELECT es.*, unnest(generate_series(1, least(size - 1, 3))) AS k, true AS ring FROM es WHERE size > 1),
+ev AS (SELECT *, {raw} AS raw, CASE WHEN ring
+  THEN ((floor(id / {rings})::BIGINT + 1 + (floor({_uniform(seed, 'ring', 'identifiant')} * (size - 1))::BIGINT + k) % (size - 1)) % size) * {rings} + id_reseau
+  ELSE (id + 1 + floor({u('other')} * {n - 1})::BIGINT) % {n} END AS other FROM ek)
+SELECT 'EVT-' || identifiant || '-' || CASE WHEN ring THEN 'R' ELSE '' END || k AS id_source,
+  CASE WHEN ring THEN 'TRANSACTION' WHEN odd THEN {kind(generator.ODD_SHARES)} ELSE {kind(generator.NORMAL_SHARES)} END AS type_evenement,
+  CASE WHEN ring THEN 'INTERNE' ELSE {_pick(('INTERNE', 'EXTERNE'), u('source'))} END AS type_source,
+  epoch(TIMESTAMP '2024-07-01')::BIGINT - 86400 * CASE WHEN ring THEN {_whole(u('day'), 0, 29)} ELSE {_whole(u('day'), 0, 28)} END - 3600 * {_whole(u('hour'), 0, 23)} AS horodatage,
+  CASE WHEN odd AND {u('round')} < 0.3::DOUBLE THEN round(raw / 1000) * 1000 ELSE round(raw, 2) END AS montant,
+  identifiant AS id_entite_source, 'ENT-' || lpad(other::VARCHAR, 8, '0') AS id_entite_cible,
+  round(CASE WHEN ring THEN 0.1::DOUBLE + {u('corroboration')} * 0.4::DOUBLE WHEN odd THEN 0.1::DOUBLE + {u('corroboration')} * 0.6::DOUBLE
+    ELSE 0.3::DOUBLE + {u('corroboration')} * 0.7::DOUBLE END, 3) AS score_corroboration,
+  CASE WHEN ring THEN 1 ELSE {_whole(u('sources'), 1, 3)} END AS nombre_sources, CASE WHEN ring THEN 0 ELSE {_whole(u('jump'), 0, 2)} END AS saut_hierarchique, adresse_ip FROM ev"""
+
+
+def _generated_edges(n: int = 1000, seed: int = 42, rings: int = 5) -> str:
+    def u(name: str) -> str:
+        return _uniform(seed, name, "src", "dst", "type")
+
+    def sharing(attribute: str, kind: str) -> str:
+        return f"SELECT a.identifiant AS src, b.identifiant AS dst, '{kind}' AS type FROM en a JOIN en b ON a.{attribute} = b.{attribute} AND a.identifiant < b.identifiant"
+
+    links = _uniform(seed, "links", "identifiant")
+    return f"""WITH {_generated(n, seed, rings)},
+cl AS (SELECT identifiant AS src, unnest(generate_series(1, CASE WHEN odd THEN {_whole(links, 1, 5)} ELSE {_whole(links, 1, 3)} END)) AS k FROM en),
+ct AS (SELECT DISTINCT src, 'ENT-' || lpad({_whole(_uniform(seed, 'target', 'src', 'k'), 0, n - 1)}::VARCHAR, 8, '0') AS dst, 'CAUSE_DE' AS type FROM cl),
+al AS ({sharing('adresse_ip', 'PARTAGE_IP')} UNION ALL {sharing('adresse', 'PARTAGE_ADRESSE')} UNION ALL {sharing('id_reseau', 'COSIGNATURE')}
+  UNION ALL SELECT * FROM ct WHERE src <> dst)
+SELECT src, dst, type, round(CASE type WHEN 'PARTAGE_IP' THEN 0.4::DOUBLE + {u('confidence')} * (0.9::DOUBLE - 0.4::DOUBLE) WHEN 'PARTAGE_ADRESSE' THEN 0.3::DOUBLE + {u('confidence')} * (0.7::DOUBLE - 0.3::DOUBLE)
+    WHEN 'CAUSE_DE' THEN 0.1::DOUBLE + {u('confidence')} * (0.9::DOUBLE - 0.1::DOUBLE) ELSE 0.1::DOUBLE + {u('confidence')} * (0.4::DOUBLE - 0.1::DOUBLE) END, 3) AS score_confiance,
+  epoch(TIMESTAMP '2024-07-01')::BIGINT - 86400 * {_whole(u('age'), 0, 1095)} AS date_creation,
+  type = 'CAUSE_DE' AND {u('inactive')} < 0.05::DOUBLE AS inactif, CASE WHEN type = 'CAUSE_DE' THEN {_whole(u('delta'), 60, 72 * 3600)}::DOUBLE END AS delta_secondes FROM al"""
+
+
 def _metrics() -> str:
     return """round(coalesce(tp / nullif(tp + fp, 0), 0), 4) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0), 4) AS recall,
   round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 4) AS f1, round(coalesce((tp + tn) / nullif(tp + tn + fp + fn, 0), 0), 4) AS accuracy,
@@ -327,6 +413,9 @@ SELECT id AS src, NULL::BIGINT AS dst FROM vt WHERE id NOT IN (SELECT id FROM go
 UNION ALL SELECT src, dst FROM e WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone)""",
         "versioned_tables": f"""WITH {E}, {VERT} SELECT 1 AS version, 'edges' AS name, count(*) AS n FROM e UNION ALL SELECT 1, 'vertices', count(*) FROM vt
 UNION ALL SELECT 2, 'edges', count(*) FROM e WHERE src < dst""",
+        "generated_entities": f"WITH {_generated()} SELECT * EXCLUDE (id, odd) FROM en",
+        "generated_events": _generated_events(),
+        "generated_edges": _generated_edges(),
         "stream_dedup": f"WITH {EV} SELECT DISTINCT src AS id_entite_source, type_evenement FROM ev",
         "stream_rules": f"WITH {_chain('2024-02-15', False)} {flags}",
         "stream_causal_links": f"{causal} SELECT cause, effect, cause_type, effect_type FROM c",
