@@ -58,10 +58,11 @@ FURNITURE = frozenset(
     "overlay newsletter subscribe subscription signup menu nav navbar navigation breadcrumb breadcrumbs masthead footer "
     "sidebar sidebars login pager pagination toolbar complementary contentinfo hidden skip".split()
 )
-#: Words that mark it unless the same name speaks of content as well (fixed values).
+#: Words that also name wrappers, and those of them that mark nothing where the name speaks of content as well (fixed values).
 LOOSE = frozenset(
     "banner promo notice notification alert header aside rail widget related recommended share sharing social respond search".split()
 )
+VAGUE = frozenset("banner notice notification alert header aside rail widget respond search".split())
 CONTENT = frozenset("article post entry content story text body main title heading headline".split())
 #: Words that stand for reader comments, also on an article element (fixed values).
 COMMENTS = frozenset("comment comments disqus replies respond".split())
@@ -118,7 +119,7 @@ def _furniture(name: str, raw: str) -> str:
         return "sure" if words & SMALL_PARTS else ""
     if words & FURNITURE:
         return "sure"
-    return "loose" if words & LOOSE and not words & CONTENT else ""
+    return "loose" if words & (LOOSE - VAGUE if words & CONTENT else LOOSE) else ""
 
 
 def _settle(root: Node) -> None:
