@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from riskgraph.llm import cotraining, html_extract, license_texts, licenses, minhash, packing, pii, pivots, quality_rules
 
@@ -30,7 +31,7 @@ BOTH = [PARA.strip(), OTHER.strip()]
         (f"<body><form>{P}{Q}<input></form></body>", BOTH),
         (f"<!-->{P}<!-- gone --!>{Q}<!--->", BOTH),
         (f"<article><div class='article-header'><h1>Title</h1></div>{P}</article>", ["Title", BOTH[0]]),
-        (f"<article>{P}<p class='social'>Short.</p><div class='legal-notice-text'>Legal.</div><div class='notice'>Gone.</div></article>", [BOTH[0], "Short.", "Legal."]),
+        (f"<article>{P}<p class='social'>Short.</p><div class='legal-notice-text'>Legal.</div><div class='notice'>Gone.</div><div class='post-share'>Gone.</div></article>", [BOTH[0], "Short.", "Legal."]),
         (f"<div><div class=text>{P}{Q}</div>Closing <b>sentence</b>.<p>Short end.</p><ul><li>one</li></ul></div>", [*BOTH, "Closing sentence.", "Short end.", "one"]),
         (f"<h1>Head</h1><article>{P}</article><h2>More</h2><ul><li><a href=x>link</a></li></ul>", ["Head", BOTH[0]]),
         ("<div class=ad>Buy now, or never, or later.</div><article><h1>A</h1><p>Tiny.</p></article>", ["A", "Tiny."]),
@@ -149,8 +150,11 @@ def test_scores_match_the_model(spark, small):
         want = 1 / (1 + math.exp(-(parts[0] + parts[1] - model.prior)))
         assert got[r["doc_id"]]["score"] == pytest.approx(want, abs=1e-6)
         assert got[r["doc_id"]]["kept"] == (got[r["doc_id"]]["score"] >= cfg.keep_at)
-    kept = cotraining.keep_quality(docs, known, settings=cfg)
-    assert sorted(map(tuple, kept.collect())) == sorted(tuple(r) for r in rows if got[r["doc_id"]]["kept"])
+    clash = ["content_0", "meta_0", "kept", "score", "content", "a"]  # further columns go through, whatever their names
+    more = docs.select("*", *(F.lit(c).alias(c) for c in clash))
+    kept = cotraining.keep_quality(more, known, settings=cfg)
+    assert kept.columns == more.columns
+    assert sorted(map(tuple, kept.collect())) == sorted((*r, *clash) for r in rows if got[r["doc_id"]]["kept"])
 
 
 def test_the_pool_is_the_whole_table(spark):
