@@ -24,6 +24,8 @@ columns are ignored.
 from __future__ import annotations
 
 import math
+import zlib
+from array import array
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -58,34 +60,45 @@ class Settings:
 
 
 class _Buckets(dict):
-    """Signed buckets of a word and of its character n-grams: bucket, plus ``GRAMS`` for a negative sign."""
+    """Numbers of the words met lately; ``rows`` has the four signed buckets of each word's n-grams in order.
 
-    def __missing__(self, word: bytes) -> np.ndarray:
-        edged = b"<" + word + b">"
-        grams = {word, *(b"#" + edged[i : i + LETTERS] for i in range(max(1, len(edged) - LETTERS + 1)))}
-        out = np.array([xxhash.xxh32_intdigest(g) % (2 * GRAMS) for g in sorted(grams)], dtype=np.int64)
-        if len(self) >= WORDS_KNOWN:
+    A bucket from ``GRAMS`` on stands for the one ``GRAMS`` below it with a negative sign.
+    """
+
+    rows = array("h")
+
+    def room(self, n: int) -> None:
+        """Makes room for ``n`` more words, so that numbers hold for a whole text."""
+        if len(self) + n > WORDS_KNOWN:
             self.clear()
-        self[word] = out
-        return out
+            self.rows = array("h")
+
+    def __missing__(self, word: bytes) -> int:
+        edged = b"<" + word + b">"
+        grams = (word, b"#" + edged[:LETTERS], b"#" + edged[-LETTERS:], b"#" + edged[2 : 2 + LETTERS])
+        self.rows.extend([zlib.crc32(g) % (2 * GRAMS) for g in grams])
+        i = self[word] = len(self)
+        return i
 
 
 _buckets = _Buckets()
 
 
 def gram_view(words: list[bytes]) -> np.ndarray:
-    """Signed hashed counts of words and character n-grams, relative to all of them."""
-    hit = np.bincount(np.concatenate([_buckets[w] for w in words]), minlength=2 * GRAMS)
-    return (hit[:GRAMS] - hit[GRAMS:]) / hit.sum()
+    """Signed hashed counts of words and of character n-grams at their ends and inside, relative to all of them."""
+    _buckets.room(len(words))
+    at = [_buckets[w] for w in words]
+    hit = np.bincount(np.frombuffer(_buckets.rows, dtype=np.int16).reshape(-1, 4)[at].ravel(), minlength=2 * GRAMS)
+    return (hit[:GRAMS] - hit[GRAMS:]) / (4 * len(words))
 
 
-def content_view(text: str | None) -> list[float]:
+def content_view(text: str | None) -> np.ndarray:
     """Sixteen shares and logarithms of a text's shape, whatever its language, and its n-grams."""
     raw = (text or "").encode("utf-8", "surrogatepass")
     words = raw.split()
     n = len(words)
     if not n:
-        return [0.0] * VIEWS["content"]
+        return np.zeros(VIEWS["content"], dtype=np.float32)
     size = len(raw)
 
     def share(chars: bytes) -> float:
@@ -103,7 +116,7 @@ def content_view(text: str | None) -> list[float]:
         kinds / n, pairs / max(1, n - 1), min(size / n, 40.0) / 10, 1 - len(set(lines)) / len(lines),
         ended / len(lines), min(len(lines) / n, 1.0), 1.0 if n < 50 else 0.0, min(math.log1p(size / len(lines)), 12.0),
     ]
-    return shape + gram_view([w.lower() for w in words]).tolist()
+    return np.concatenate([shape, gram_view(raw.lower().split())]).astype(np.float32)
 
 
 def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> list[float]:
@@ -234,20 +247,28 @@ def co_train(
     return train(({"content": content, "meta": meta}, label), pool, settings)
 
 
-def featurize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", through: list[str] | None = None) -> DataFrame:
-    """``doc_id, content, meta`` of every row, or the columns ``through`` in the place of ``doc_id``."""
-    names = through or [id_col]
-    docs = docs.select(*names, *(F.col(c).alias(f"_{k}") for k, c in enumerate((text_col, "lang", "source", "n_chars"))))
-    kept = row_schema(docs.select(*names)) if through else "doc_id bigint"
+def featurize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, content, meta`` of every row."""
+
+    def factory():
+        return lambda i, text, lang, source, n: (i, content_view(text), meta_view(lang, source, n))
+
+    return map_rows(docs, [id_col, text_col, "lang", "source", "n_chars"], factory, "doc_id bigint, content array<float>, meta array<float>")
+
+
+def beside_features(docs: DataFrame, text_col: str, content: str, meta: str) -> DataFrame:
+    """``docs`` with both views of every row in columns of these names."""
+    names = docs.columns
+    at = [names.index(c) for c in (text_col, "lang", "source", "n_chars")]
 
     def factory():
         def one(*row):
-            text, lang, source, n = row[-4:]
-            return (*row[:-4], content_view(text), meta_view(lang, source, n))
+            text, lang, source, n = (row[i] for i in at)
+            return (*row, content_view(text), meta_view(lang, source, n))
 
         return one
 
-    return map_rows(docs, docs.columns, factory, f"{kept}, content array<float>, meta array<float>")
+    return map_rows(docs, names, factory, f"{row_schema(docs)}, `{content}` array<float>, `{meta}` array<float>")
 
 
 def _odds(view: View, col: str) -> Column:
@@ -344,8 +365,7 @@ def score_quality(
     """``doc_id, score_content, score_meta, score, kept`` for every row of ``docs``."""
     settings = settings or Settings()
     features = materialize(featurize(docs, id_col, text_col))
-    scored = with_scores(features, fit_model(features, labels, settings), settings)
-    return scored.select("doc_id", "score_content", "score_meta", "score", "kept")
+    return with_scores(features, fit_model(features, labels, settings), settings)
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings | None = None) -> DataFrame:
@@ -355,19 +375,27 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     bring rows and scores together.
     """
     settings = settings or Settings()
-    features = materialize(featurize(docs, id_col, text_col, docs.columns))
-    slim = features.select(F.col(id_col).alias("doc_id"), "content", "meta")
-    scored = with_scores(features, fit_model(slim, labels, settings), settings)
-    return scored.where("kept").select(*docs.columns)
+    content, meta = (next(n for k in range(len(docs.columns) + 1) if (n := f"{view}_{k}") not in docs.columns) for view in VIEWS)
+    features = materialize(beside_features(docs, text_col, content, meta))
+    slim = features.select(F.col(id_col).alias("doc_id"), F.col(content).alias("content"), F.col(meta).alias("meta"))
+    model = fit_model(slim, labels, settings)
+    if model is None:
+        return features.select(*docs.columns)
+    return features.where(_score(_odds(model.content, content), _odds(model.meta, meta), model) >= F.lit(settings.keep_at)).select(*docs.columns)
+
+
+def _score(content: Column, meta: Column, model: Model) -> Column:
+    return _probability(content + meta - F.lit(model.prior))
 
 
 def with_scores(features: DataFrame, model: Model | None, settings: Settings) -> DataFrame:
-    """``features`` with scores and verdict."""
+    """``doc_id`` with scores and verdict."""
     if model is None:
         half = F.lit(0.5)
-        return features.withColumns({"score_content": half, "score_meta": half, "score": half, "kept": F.lit(True)})
-    scored = features.withColumns({"_a": _odds(model.content, "content"), "_b": _odds(model.meta, "meta")})
-    score = _probability(F.col("_a") + F.col("_b") - F.lit(model.prior))
-    return scored.withColumns({"score_content": _probability(F.col("_a")), "score_meta": _probability(F.col("_b")), "score": score}).withColumn(
-        "kept", F.col("score") >= F.lit(settings.keep_at)
-    )
+        return features.select("doc_id", half.alias("score_content"), half.alias("score_meta"), half.alias("score"), F.lit(True).alias("kept"))
+    scored = features.select("doc_id", _odds(model.content, "content").alias("a"), _odds(model.meta, "meta").alias("b"))
+    score = _score(F.col("a"), F.col("b"), model)
+    return scored.select(
+        "doc_id", _probability(F.col("a")).alias("score_content"), _probability(F.col("b")).alias("score_meta"),
+        score.alias("score"), (score >= F.lit(settings.keep_at)).alias("kept"),
+    )
