@@ -14,6 +14,8 @@ _shipped: set[str] = set()
 #: Bytes of an Arrow batch, where the session has no limit of its own; it bounds a Python worker's memory.
 ARROW_BYTES = "8m"
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Removes a query's shuffle files at its end instead of when the driver next collects garbage.
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -72,20 +74,34 @@ def materialize(df: DataFrame, instead: DataFrame | None = None) -> DataFrame:
     """Writes ``df`` into the shared folder as Parquet and reads it back.
 
     This cuts lineage: a lost executor costs a re-read of files, never a
-    recomputation of what came before. The files of ``instead``, an earlier result of
-    this function that nobody reads any more, are removed; all others stay until
-    ``clean`` or until the folder goes.
+    recomputation of what came before. The shuffle files of the write go at its end. The
+    files of ``instead``, an earlier result of this function that nobody reads any more,
+    are removed; all others stay until ``release``, ``clean`` or until the folder goes.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "table")
-    df.write.parquet(path)
+    tidy = spark.conf.get(_TIDY, None)
+    spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy is None:
+            spark.conf.unset(_TIDY)
+        else:
+            spark.conf.set(_TIDY, tidy)
     if instead is not None:
-        _remove(spark, instead._scratch)
+        release(instead)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
 
 
+def release(*tables: DataFrame) -> None:
+    """Removes the files of results of ``materialize`` that nobody reads any more."""
+    for t in tables:
+        _remove(t.sparkSession, t._scratch)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
