@@ -13,7 +13,7 @@ share a band are compared: all pairs in small buckets, in large ones everyone wi
 the bucket's first member. Members of a large bucket that are then still in
 different components are compared block by block: pairs whose sizes alone rule out
 the threshold go, and long signatures let through the rest down to ``PASS``, five
-deviations below it, so that a pair at 0.8 falls below with probability 2e-7, less
+deviations below it, so that a pair at 0.8 falls below with probability 3e-7, less
 than banding loses. Every pair that remains is verified on whole shingle sets; links
 are closed into components.
 
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.functions.cluster import materialize, ship_package
+from riskgraph.functions.cluster import materialize, release, ship_package
 from riskgraph.functions.graph import connected_components
 from riskgraph.llm.rows import map_rows
 
@@ -46,9 +46,9 @@ THRESHOLD = 0.8
 #: Buckets up to this size compare all pairs; larger ones go through their first member.
 SMALL = 8
 #: Coordinates (one byte each) of the long signatures, the agreement they ask for, and members per block.
-LONG, PASS, BLOCK = 1024, 0.7345, 512
+LONG, PASS, BLOCK = 2048, 0.756, 512
 #: Agreement of the codes' lowest bits that comes first: a pair at 0.8 agrees in 0.9 of them, five deviations higher.
-PASS_BITS = 0.852
+PASS_BITS = 0.867
 #: Bits of the filter on documents whose shingles are needed; it takes 1 MB whatever the input.
 FILTER_BITS = 1 << 23
 #: Heights at which cells of darts end; fixed, so that all texts share the darts. Further cells double the height.
@@ -351,6 +351,7 @@ def near_duplicates(
     if later.limit(1).count():
         more = verify(later, sets).where(F.col("sim") >= threshold).select("member", "center")
         joined = connected_components(links.unionByName(more), "member", "center")
+    release(shared, pairs, sets, compared, later)  # what follows reads signatures, representatives and components
 
     classes = (
         reps.join(joined.select(F.col("id").alias("rep"), "component"), "rep", "left")
