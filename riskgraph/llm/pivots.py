@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgraph.functions.cluster import hash_sample, materialize, ship_package
+from riskgraph.functions.cluster import hash_sample, materialize, release, ship_package
 from riskgraph.functions.graph import connected_components
 
 #: Pivots of a vector while there are up to so many, and beyond, where like vectors share fewer; how many two have to share.
@@ -318,7 +318,7 @@ def near_vectors(
         .dropDuplicates(["rep", "k1", "k2"])
     )
     # one id may stand for several vectors, so the index has numbers of its own
-    reps = materialize(reps.withColumn("number", F.monotonically_increasing_id()))
+    reps = materialize(reps.withColumn("number", F.monotonically_increasing_id()), instead=reps)
     count = pivot_count(reps.count())
     picked = hash_sample(reps, ["k1", "k2"], SAMPLE, "pivots").select("vector").collect()
     dims = {len(r["vector"]) for r in picked}
@@ -352,6 +352,7 @@ def near_vectors(
         .select("k1", "k2", "vec", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     )
     known = materialize(known)
+    release(described, near, found, reps)
     smallest = known.groupBy("component").agg(F.min("vec").alias("component_id"))
     known = known.join(smallest, "component").select("k1", "k2", "n_links", "component_id")
     return rows.select("vec_id", "k1", "k2").join(known, ["k1", "k2"], "left").select(
