@@ -13,17 +13,18 @@ from riskgraph.operators.links import symmetric
 def neighbour_jaccard(edges: DataFrame) -> DataFrame:
     """``src, dst, jaccard`` of the ends' undirected neighbour sets.
 
-    Common neighbours are counted by joining on them; sets are never gathered.
+    Common neighbours are counted by joining on them; sets are never gathered. Tables of
+    edges are small when compressed, so hints keep them from being broadcast.
     """
     near = symmetric(edges).distinct()
     size = near.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("d"))
     pairs = edges.select("src", "dst").distinct()
-    left = pairs.join(near.select(F.col("src"), F.col("dst").alias("w")), "src")
-    common = left.join(near.select(F.col("src").alias("dst"), F.col("dst").alias("w")), ["dst", "w"], "left_semi")
+    left = pairs.join(near.select(F.col("src"), F.col("dst").alias("w")).hint("merge"), "src")
+    common = left.join(near.select(F.col("src").alias("dst"), F.col("dst").alias("w")).hint("merge"), ["dst", "w"], "left_semi")
     common = common.groupBy("src", "dst").agg(F.count("*").alias("common"))
     sized = (
         pairs.join(size.select(F.col("v").alias("src"), F.col("d").alias("da")), "src")
-        .join(size.select(F.col("v").alias("dst"), F.col("d").alias("db")), "dst").join(common, ["src", "dst"], "left")
+        .join(size.select(F.col("v").alias("dst"), F.col("d").alias("db")), "dst").join(common.hint("merge"), ["src", "dst"], "left")
     )
     both = F.coalesce("common", F.lit(0))
     return sized.select("src", "dst", F.coalesce(F.try_divide(both.cast("double"), F.col("da") + F.col("db") - both), F.lit(0.0)).alias("jaccard"))
@@ -36,7 +37,7 @@ def link_confidence(edges: DataFrame, facts: DataFrame, as_of: str, cfg: Confide
     ``corroboration`` and, if known, ``whitelisted``.
     """
     cfg = cfg or ConfidenceConfig()
-    j = edges.select("src", "dst").distinct().join(facts, ["src", "dst"], "left").join(neighbour_jaccard(edges), ["src", "dst"], "left")
+    j = edges.select("src", "dst").distinct().join(facts.hint("merge"), ["src", "dst"], "left").join(neighbour_jaccard(edges).hint("merge"), ["src", "dst"], "left")
     days = F.coalesce(whole_days(F.to_timestamp(F.lit(as_of)), F.col("last_seen")), F.lit(0))
     score = (
         cfg.frequency * frequency(F.coalesce("n", F.lit(0))) + cfg.recency * recency(days, cfg.decay_per_day)

@@ -64,7 +64,7 @@ def propagate(vertices: DataFrame, edges: DataFrame, cfg: ScoringConfig | None =
     cfg = cfg or ScoringConfig()
     risk = vertices.select(F.col("id").alias("dst"), F.coalesce("risk", F.lit(cfg.default_risk)).alias("r"))
     w = F.coalesce("score_confiance", F.lit(cfg.default_confidence))
-    mean = edges.join(risk, "dst").groupBy(F.col("src").alias("id")).agg(F.sum(w * F.col("r")).alias("num"), F.sum(w).alias("den"))
+    mean = edges.join(risk.hint("shuffle_hash"), "dst").groupBy(F.col("src").alias("id")).agg(F.sum(w * F.col("r")).alias("num"), F.sum(w).alias("den"))
     own = F.coalesce("risk", F.lit(cfg.default_risk))
     m = F.when(F.col("den").isNull(), F.lit(cfg.default_risk)).when(F.col("den") > 0, F.col("num") / F.col("den"))
     keep = 2.0**-cfg.layers

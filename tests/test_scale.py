@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from riskgraph.config import FeedbackConfig, IngestConfig, ResolutionConfig
 from riskgraph.functions import cluster, scalar
 from riskgraph.functions.order import shuffled, with_position
-from riskgraph.operators import communities, evaluation, ingest, links, resolution, topology
+from riskgraph.operators import communities, confidence, evaluation, ingest, links, resolution, scoring, topology
 from riskgraph.plans import phases
 from riskgraph.sources import tables
 from riskgraph.streaming import checks
@@ -86,6 +86,15 @@ def test_links_of_ranks_are_never_broadcast(spark):
     assert re.search(r"ShuffledHashJoin \[src#\d+L\], \[id#\d+L\], Inner, BuildRight", physical)
 
 
+def test_edges_are_never_broadcast_for_confidence(spark):
+    e = edges(spark, [(i, 100 + j) for i in range(40) for j in range(5)])
+    rows = [event(i, "TRANSACTION", T0, src=i, dst=100) for i in range(40)]
+    scored = confidence.link_confidence(e, confidence.event_facts(spark.createDataFrame(rows, EVENT)), "2024-02-15")
+    spread = scoring.propagate(spark.range(40).withColumn("risk", F.lit(0.5)), e.withColumn("score_confiance", F.lit(0.5)))
+    assert not re.search(r"BroadcastHashJoin \[src#\d+L?, dst#|BroadcastHashJoin \[dst#\d+L, w#", plan(scored))
+    assert "ShuffledHashJoin [dst#" in plan(spread)
+
+
 def test_resolution_has_no_nested_loop(spark):
     rows = [(i, n, a, t) for i, (n, a, t) in enumerate([("", "x", "1"), ("", "y", "1"), ("anna", "x", "1"), ("Anná ", "x", "1"), ("anne", "z", "2"), (None, "x", None)])]
     df = spark.createDataFrame(rows, "id bigint, nom string, adresse string, telephone string")
