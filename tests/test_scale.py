@@ -110,6 +110,31 @@ def test_resolution_has_no_nested_loop(spark):
     assert resolution.block_pairs(late, "id", ResolutionConfig()).count() == 0
 
 
+def test_equal_names_are_compared_once(spark):
+    names = ["anna", "annas", "bob", "", "a very long name of annas"]
+    rows = [(i, names[i * i % 5 if i % 7 else 0]) for i in range(1500)] + [(None, "anna"), (9000, None)]
+    df = spark.createDataFrame(rows, "id bigint, nom string")
+    got = resolution.block_pairs(df, "id")
+    assert "explode(ys" in plan(got) and "levenshtein" not in plan(got).split("explode(ys")[0]
+    fits = {(a, b) for a in names for b in names if (a[:3] == b[:3] or not a or not b) and abs(len(a) - len(b)) / max(len(a), 1) <= 0.9}
+    ids = [(i, n) for i, n in rows if i is not None and n is not None]
+    want = sum((m, n) in fits for x, (i, m) in enumerate(ids) for j, n in ids[x + 1 :])
+    assert got.count() == want == got.distinct().count() and got.where("a >= b").count() == 0
+    both = resolution.block_pairs(df, "id", both=True)
+    assert both.count() == sum((m, n) in fits for i, m in ids for j, n in ids if i != j)
+
+
+def test_groups_of_many_blocks_lose_no_pair(spark):
+    rows = [(i, "x" if i % 3 else "y", i % 2) for i in range(2000)] + [(5000, None, 1), (5001, "z", 1)]
+    got = links.shared_attribute_pairs(spark.createDataFrame(rows, "id bigint, s string, k int"), "id", ["s", "k"])
+    assert "explode(ys" in plan(got) and got.where("src >= dst").count() == 0
+    size = {}
+    for _, s, k in rows[:2000]:
+        size[s, k] = size.get((s, k), 0) + 1
+    want = {n: sum(m * (m - 1) // 2 for m in size.values() if m == n) for n in size.values()}
+    assert {r["group_size"]: r["n"] for r in got.distinct().groupBy("group_size").agg(F.count("*").alias("n")).collect()} == want
+
+
 @pytest.mark.parametrize("nulls_match", [True, False])
 def test_exact_keys_lose_no_match(spark, nulls_match):
     rng = random.Random(4)
