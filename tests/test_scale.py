@@ -136,6 +136,28 @@ def test_groups_of_many_blocks_lose_no_pair(spark):
     assert {r["group_size"]: r["n"] for r in got.distinct().groupBy("group_size").agg(F.count("*").alias("n")).collect()} == want
 
 
+def test_edges_of_lines_stand_for_those_of_their_members(spark):
+    rng = random.Random(9)
+    rows = [(i, rng.choice(["anna", "annabella", "annas", "bob", "", None]), rng.choice("xy"), rng.choice("tu")) for i in range(150)]
+    df = spark.createDataFrame(rows, "identifiant bigint, nom string, adresse string, telephone string")
+    members, matched = resolution.matched_lines(df, "identifiant", ResolutionConfig())
+    both = {(r["a"], r["b"]) for r in matched.collect()}
+    assert any((b, a) not in both for a, b in both) and any((b, a) in both for a, b in both if a != b)
+    mapping = resolution.resolve_lines(members, matched)
+    few = resolution.pair_counts(members, matched).select(F.col("a").alias("src"), F.col("b").alias("dst"), "n")
+    all_of_them = resolution.matches(df, "identifiant").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    assert few.agg(F.sum("n")).first()[0] == all_of_them.count() > 10 * few.count()
+    moved = [resolution.merge(df, e, mapping)[1].groupBy("src", "dst") for e in (few, all_of_them)]
+    want = {(r["src"], r["dst"]): r["n"] for r in moved[1].agg(F.count("*").alias("n")).collect()}
+    got = {}
+    for r in moved[0].agg(F.sum("n").alias("n")).collect():  # survivors of both orders
+        got[min(r["src"], r["dst"]), max(r["src"], r["dst"])] = got.get((min(r["src"], r["dst"]), max(r["src"], r["dst"])), 0) + r["n"]
+    whole = {}
+    for (a, b), n in want.items():
+        whole[min(a, b), max(a, b)] = whole.get((min(a, b), max(a, b)), 0) + n
+    assert got == whole and got
+
+
 def test_cliques_of_groups_are_those_of_their_pairs(spark):
     rng = random.Random(6)
     rows = [(rng.randrange(30), rng.randrange(14)) for _ in range(42)] + [(i, 90) for i in range(100, 103)] + [(i, 91) for i in (200, 201)] + [(None, 90)]
