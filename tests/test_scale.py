@@ -125,6 +125,13 @@ def test_equal_names_are_compared_once(spark):
     assert both.count() == sum((m, n) in fits for i, m in ids for j, n in ids if i != j)
 
 
+def test_matches_of_equal_entities_are_made_at_the_end(spark):
+    df = spark.createDataFrame([(i, "anna" if i % 4 else "bob", "x") for i in range(1200)], "id bigint, nom string, adresse string")
+    got = resolution.matches(df, "id", ResolutionConfig(merge_at=0.951))
+    assert "explode(ys" in plan(got)
+    assert got.count() == 900 * 899 // 2 + 300 * 299 // 2 == got.distinct().count() and got.where("a >= b or similarite <> 1").count() == 0
+
+
 def test_groups_of_many_blocks_lose_no_pair(spark):
     rows = [(i, "x" if i % 3 else "y", i % 2) for i in range(2000)] + [(5000, None, 1), (5001, "z", 1)]
     got = links.shared_attribute_pairs(spark.createDataFrame(rows, "id bigint, s string, k int"), "id", ["s", "k"])
