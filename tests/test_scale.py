@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskgraph.config import FeedbackConfig, IngestConfig, ResolutionConfig
-from riskgraph.functions import cluster, scalar
+from riskgraph.functions import cluster, pairs, scalar
 from riskgraph.functions.order import shuffled, with_position
 from riskgraph.operators import communities, confidence, evaluation, ingest, links, resolution, scoring, topology
 from riskgraph.plans import phases
@@ -132,6 +132,24 @@ def test_matches_of_equal_entities_are_made_at_the_end(spark):
     assert got.count() == 900 * 899 // 2 + 300 * 299 // 2 == got.distinct().count() and got.where("a >= b or similarite <> 1").count() == 0
 
 
+def test_classes_paired_in_both_orders_meet_once(spark, monkeypatch):
+    rng = random.Random(12)
+    line = {i: rng.choice([1, 1, 1, 2, 2, 3, 4]) for i in range(80)}
+    asked = [(1, 1, 1.0), (1, 2, 0.5), (2, 1, 0.5), (3, 1, 0.25), (2, 3, 0.5), (3, 2, 0.75), (4, 4, 1.0), (None, 4, 1.0), (4, 9, 1.0)]
+    tables, keep = [], pairs.materialize
+    monkeypatch.setattr(pairs, "materialize", lambda df: tables.append(keep(df)) or tables[-1])
+    monkeypatch.setattr(pairs, "BLOCK", 8)
+    members = spark.createDataFrame([*line.items(), (None, 1), (900, None)], "id bigint, line bigint")
+    got = pairs.expand(spark.createDataFrame(asked, "a bigint, b bigint, s double"), members)
+    want = sorted((a, b, x, y, s) for a, b, s in asked for x in line for y in line if x < y and (line[x], line[y]) == (a, b))
+    assert sorted(tuple(r) for r in got.select("a", "b", "first", "second", "s").collect()) == want
+    blocks = {(r["line"], r["block"]): r["ids"] for r in tables[0].collect()}
+    assert len(blocks) > 8 and all(ids == sorted(ids) for ids in blocks.values())
+    met = [frozenset([(r["a"], r["ka"]), (r["b"], r["kb"])]) for r in tables[-1].where("s = 0.5 and least(a, b) = 1").collect()]
+    sizes = {c: sum(k[0] == c for k in blocks) for c in (1, 2)}
+    assert len(met) == len(set(met)) == sizes[1] * sizes[2]
+
+
 def test_groups_of_many_blocks_lose_no_pair(spark):
     rows = [(i, "x" if i % 3 else "y", i % 2) for i in range(2000)] + [(5000, None, 1), (5001, "z", 1)]
     got = links.shared_attribute_pairs(spark.createDataFrame(rows, "id bigint, s string, k int"), "id", ["s", "k"])
