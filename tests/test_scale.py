@@ -150,6 +150,25 @@ def test_classes_paired_in_both_orders_meet_once(spark, monkeypatch):
     assert len(met) == len(set(met)) == sizes[1] * sizes[2]
 
 
+def test_blocks_dealt_out_are_small_beside_their_pairs(spark, monkeypatch):
+    tables, keep = [], pairs.materialize
+    monkeypatch.setattr(pairs, "materialize", lambda df: tables.append(keep(df)) or tables[-1])
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        members = spark.range(5000).select("id", (F.col("id") % 2).alias("line"))
+        got = pairs.expand(spark.createDataFrame([(0, 0), (0, 1), (1, 0)], "a bigint, b bigint"), members)
+        plan = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    ids = {(r["line"], r["block"]): len(r["ids"]) for r in tables[0].collect()}
+    sent = sum(ids[r["a"], r["ka"]] + ids[r["b"], r["kb"]] for r in tables[-1].collect())
+    assert got.count() == got.distinct().count() == 2500 * 2499 // 2 + 2500 * 2500 and sent < 50_000
+    # rows of one block come before those of pairs, so that a task doesn't hold all pairs of two blocks
+    made = [line for line in plan if "Generate explode" in line]
+    assert len(made) == 2 and "*(" in made[0] and "*(" not in made[1]
+
+
 def test_groups_of_many_blocks_lose_no_pair(spark):
     rows = [(i, "x" if i % 3 else "y", i % 2) for i in range(2000)] + [(5000, None, 1), (5001, "z", 1)]
     got = links.shared_attribute_pairs(spark.createDataFrame(rows, "id bigint, s string, k int"), "id", ["s", "k"])
